@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofgraph.llm import chat, warc
+from asofgraph.llm import chat, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op7_chat_format": chat.op7_chat_format,
         "op8_warc": warc.op8_warc,
     }
