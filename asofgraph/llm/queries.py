@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofgraph.llm import chat, ngram_join, warc
+from asofgraph.llm import ann, chat, mixing, ngram_join, packing, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_mixing": mixing.op2_mixing,
+        "op4_packing": packing.op4_packing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op7_chat_format": chat.op7_chat_format,
         "op8_warc": warc.op8_warc,
+        "op9_ann": ann.op9_ann,
+        "op10_vector_dedup": vector_dedup.op10_vector_dedup,
     }
 
 
@@ -23,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat_format": chat.ORACLE,
         "op8_warc": warc.ORACLE,
+        "op10_vector_dedup": vector_dedup.ORACLE,
     }
