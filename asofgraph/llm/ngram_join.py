@@ -12,11 +12,14 @@ step emits pairs of documents or gathers an unbounded group:
    set size. Shingles known to be frequent are salted into pairs of blocks.
 4. ``_groups`` brings the classes that share such a shingle together, drops those that have no
    partner of fitting size and position, cuts large groups into pairs of blocks, and keeps one
-   of all groups with the same members.
-5. ``_join_groups`` gets the texts of each group's classes, stores their sets in a prefix tree and
-   walks it once for each set, sharing partial overlaps between sets with a common beginning and
-   pruning subtrees by what can still be added. Sets in the group's largest component needn't
-   walk. It emits the links that connected something.
+   of all groups with the same members. ``_clusters`` compares the members' histograms of hash
+   ranges: histograms that differ by more than two linked sets may differ rule a pair out.
+   Components of what is left are the clusters; all links lie inside a cluster.
+5. ``_join_clusters`` gets the text of each clustered class once (large clusters: once for each
+   pair of its blocks), stores the sets in a prefix tree and walks it once for each set, sharing
+   partial overlaps between sets with a common beginning and pruning subtrees by what can still
+   be added. Sets in the cluster's largest component needn't walk. It emits the links that
+   connected something.
 
 Components of the links, then classes, then documents follow by joins.
 """
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import components, materialize, pieces, read_table, splitmix
+from asofgraph.llm.common import components, local_roots, materialize, pieces, read_table, splitmix
 from asofgraph.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -70,7 +73,48 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_PROFILE = "doc_id long, n long, digest long, token long, docs long"
+def histograms(hashes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Counts of each row's hashes by range, one byte each (255: or more), a power of two of them."""
+    n = np.diff(at)
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 6)), 4, 13).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(1 << bits)))
+    row = np.repeat(np.arange(len(n)), n)
+    place = start[row] + (hashes >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=start[-1]), 255).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def may_link(n: np.ndarray, marks: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets that their sizes and histograms don't rule out.
+
+    Linked sets differ by 1.25 in size at most, so their histograms by one halving at most; the
+    finer is folded. What two histograms differ by, two sets differ by at least.
+    """
+    length = np.array([len(m) for m in marks])
+    left, right = [], []
+    for bins in np.unique(length):
+        here, finer = np.flatnonzero(length == bins), np.flatnonzero(length == 2 * bins)
+        own = np.frombuffer(b"".join(marks[i] for i in here), np.uint8).reshape(len(here), bins).astype(np.int16)
+        other, names = own, here
+        if len(finer):
+            fold = np.frombuffer(b"".join(marks[i] for i in finer), np.uint8).reshape(len(finer), bins, 2)
+            clipped = np.minimum(fold.sum(2, dtype=np.int16), 255)
+            other, names = np.concatenate((own, clipped)), np.concatenate((here, finer))
+        step = max(1, (1 << 23) // max(1, other.size))
+        for a in range(0, len(here), step):
+            size, sizes = n[here[a:a + step]][:, None], n[names][None]
+            least = least_overlap(size, sizes, percent)
+            good = (least <= np.minimum(size, sizes)) & (names[None] > here[a:a + step, None])
+            if len(finer):
+                good |= (least <= np.minimum(size, sizes)) & (np.arange(len(names)) >= len(here))[None]
+            good &= np.abs(own[a:a + step, None] - other[None]).sum(2, dtype=np.int32) <= size + sizes - 2 * least
+            i, j = np.nonzero(good)
+            left.append(here[a + i])
+            right.append(names[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+_PROFILE = "doc_id long, n long, digest long, token long, docs long, marks binary"
 
 
 def _profile(width: int):
@@ -93,7 +137,7 @@ def _profile(width: int):
             hashes, at = shingle_sets(batch["text"], width)
             digest, n = digests(hashes, at), np.diff(at)
             none = np.full(len(n), None)
-            yield _rows(doc_id=batch["doc_id"].cast(pa.int64()), n=n, digest=_signed(digest), token=pa.array(none, pa.int64()), docs=pa.array(none, pa.int64()))
+            yield _rows(doc_id=batch["doc_id"].cast(pa.int64()), n=n, digest=_signed(digest), token=pa.array(none, pa.int64()), docs=pa.array(none, pa.int64()), marks=pa.array(histograms(hashes, at), pa.binary()))
             new = np.array([not (d in met or met.add(d)) for d in digest.tolist()], bool)
             seen.append((fresh := hashes[np.repeat(new, n)], np.ones(len(fresh), np.int64)))
             waiting += len(fresh)
@@ -106,7 +150,7 @@ def _profile(width: int):
         often = total >= HOT_IN_TASK
         if often.any():
             none = pa.array(np.full(int(often.sum()), None), pa.int64())
-            yield _rows(doc_id=none, n=none, digest=none, token=_signed(token[often]), docs=total[often])
+            yield _rows(doc_id=none, n=none, digest=none, token=_signed(token[often]), docs=total[often], marks=pa.nulls(len(none), pa.binary()))
     return run
 
 
@@ -353,25 +397,50 @@ def tree_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
 _LINKS = "u long, v long"
 
 
-def _join_groups(width: int, percent: int):
+def _by_key(key: str, take, act):
+    """Runs ``act`` on what ``take`` makes of the rows of each run of equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, held = None, []
+        for batch in batches:
+            for k, row in zip(batch[key].to_pylist(), take(batch), strict=True):
+                if k != now and held:
+                    yield from act(held)
+                    held = []
+                now = k
+                held.append(row)
+        if held:
+            yield from act(held)
+    return run
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(sets) > 1 and (found := tree_links(sets, percent)):
-                a, b = np.array(found).T
-                yield _rows(u=np.array(ids)[a], v=np.array(ids)[b])
 
-        for batch in pieces(batches, "text"):
-            hashes, at = shingle_sets(batch["text"], width)
-            for k, (mark, doc) in enumerate(zip(batch["signature"].to_pylist(), batch["rep"].to_pylist(), strict=True)):
-                if mark != now:
-                    yield from done()
-                    now, ids, sets = mark, [], []
-                ids.append(doc)
-                sets.append(hashes[at[k]:at[k + 1]].copy())
-        yield from done()
-    return run
+def _clusters(percent: int):
+    def take(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(batch[c].to_pylist() for c in ("rep", "n", "marks")), strict=True)
+
+    def act(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, n, marks = zip(*rows, strict=True)
+        i, j = may_link(np.array(n), list(marks), percent)
+        if len(i):
+            root, ids = local_roots(len(ids), i, j), np.array(ids)
+            some = np.flatnonzero(root != np.arange(len(ids)))
+            yield _rows(u=ids[some], v=ids[root[some]])
+    return _by_key("signature", take, act)
+
+
+def _join_clusters(width: int, percent: int):
+    def take(batch: pa.RecordBatch) -> Iterator[tuple]:
+        hashes, at = shingle_sets(batch["text"], width)
+        for k, doc in enumerate(batch["rep"].to_pylist()):
+            yield doc, hashes[at[k]:at[k + 1]].copy()
+
+    def act(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, sets = zip(*rows, strict=True)
+        if len(sets) > 1 and (found := tree_links(list(sets), percent)):
+            a, b = np.array(found).T
+            yield _rows(u=np.array(ids)[a], v=np.array(ids)[b])
+
+    walk = _by_key("part", take, act)
+    return lambda batches: walk(pieces(batches, "text"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
@@ -393,14 +462,25 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     order = np.argsort(hot)
     hot, hot_docs = hot[order], np.array([r.docs for r in top], np.int64)[order]
 
-    sets = profile.filter("digest IS NOT NULL").select("doc_id", "n", "digest")
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    sets = profile.filter("digest IS NOT NULL")
+    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "marks")).alias("c")).select("digest", F.col("c.doc_id").alias("rep"), "c.n", "c.marks")
     packed = texts.filter("doc_id IS NOT NULL").mapInArrow(_prefixes(width, percent, buckets, hot, hot_docs), _PACKED)
     groups = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_groups(percent), _GROUPS)
     groups = groups.groupBy("signature").agg(F.first("members").alias("members"))
-    members = groups.select("signature", F.explode("members").alias("digest")).join(classes, "digest").select("signature", "rep")
-    wanted = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    links = wanted.repartition("signature").sortWithinPartitions("signature").mapInArrow(_join_groups(width, percent), _LINKS)
+    members = groups.select("signature", F.explode("members").alias("digest")).join(classes, "digest").select("signature", "rep", "n", "marks")
+    near = members.repartition("signature").sortWithinPartitions("signature").mapInArrow(_clusters(percent), _LINKS)
+    clusters = materialize(components(near).join(classes.select(F.col("rep").alias("node"), "n"), "node"), "clusters")
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    counts = clusters.groupBy("component").agg(blocks.alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    placed = clusters.join(counts, "component").withColumn("block", block).withColumn("other", F.explode(pairs))
+    low = F.when(F.col("blocks") <= 2, 0).otherwise(F.least("block", "other"))
+    high = F.when(F.col("blocks") <= 2, 0).otherwise(F.greatest("block", "other"))
+    placed = placed.select(F.col("node").alias("rep"), F.xxhash64("component", low, high).alias("part"))
+    wanted = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    links = wanted.repartition("part").sortWithinPartitions("part").mapInArrow(_join_clusters(width, percent), _LINKS)
     parts = components(links)
     joined = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return sets.join(joined, "digest", "left").select(

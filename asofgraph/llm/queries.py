@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofgraph.llm import ann, chat, mixing, ngram_join, packing, vector_dedup, warc
+from asofgraph.llm import ann, chat, cotraining, langid, mixing, ngram_join, packing, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_quality": cotraining.op3_quality,
         "op4_packing": packing.op4_packing,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_language": langid.op6_language,
         "op7_chat_format": chat.op7_chat_format,
         "op8_warc": warc.op8_warc,
         "op9_ann": ann.op9_ann,
