@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofgraph.llm import ann, chat, cotraining, langid, mixing, ngram_join, packing, vector_dedup, warc
+from asofgraph.llm import ann, chat, cotraining, langid, mixing, ngram_join, packing, pages, vector_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pages": pages.op1_pages,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality": cotraining.op3_quality,
         "op4_packing": packing.op4_packing,
