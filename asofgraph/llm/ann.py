@@ -101,7 +101,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLO
     plan = n.join(m, "dim")  # a row for each dimension
     side = lambda df, own, other: df.join(F.broadcast(plan), "dim").select(
         "dim", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).toDF("dim", "vec_id", "embedding", own, other)  # names of its own
     keys = ["dim", "blocks", "asked"]
     pairs = side(data, "blocks", "asked").groupBy(*keys).cogroup(side(asked, "asked", "blocks").groupBy(*keys))
     found = pairs.applyInArrow(_search(k), _FOUND)
