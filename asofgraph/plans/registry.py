@@ -6,22 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from asofgraph.plans import graph_queries, market_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _modules():
-    return ()
+MODULES = (graph_queries, market_queries)
 
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for module in _modules():
+    for module in MODULES:
         found.update(module.QUERIES)
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for module in _modules():
+    for module in MODULES:
         found.update(module.ORACLE)
     return found
