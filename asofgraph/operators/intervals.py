@@ -54,7 +54,7 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def overlaps(rules: DataFrame, keys: list[str], start: str, end: str, inclusive: bool = True) -> DataFrame:
     """Rules that begin before an earlier one of their key has ended; a null end is open."""
-    window = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_first(), F.col(end).asc_nulls_last())
+    window = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_first(), F.col(end).asc_nulls_last(), *rules.columns)
     earlier = window.rowsBetween(Window.unboundedPreceding, -1)
     open_before = F.max(F.col(end).isNull().cast("int")).over(earlier) == 1
     reach = F.max(end).over(earlier)

@@ -47,12 +47,14 @@ def block_reason(side: str, least_amount: float) -> Column:
 
 
 def fills(panel: DataFrame, securities: DataFrame, calendar: DataFrame, least_amount: float) -> DataFrame:
-    """For every security and trading date: reasons by side, and the next position at which each side can fill."""
+    """For every security and trading date: reasons by side, and where, when and at what open each side fills next."""
     cells = securities.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar)))
     rows = cells.join(panel.select("date", "security_id", "open", "amount", "tradable", "suspended", "limit_up", "limit_down", F.lit(True).alias("present")), ["date", "security_id"], "left")
     rows = rows.withColumns({"buy_reason": block_reason("buy", least_amount), "sell_reason": block_reason("sell", least_amount)})
     ahead = Window.partitionBy("security_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumns({f"next_{s}": F.min(F.when(F.col(f"{s}_reason").isNull(), F.col("pos"))).over(ahead) for s in ("buy", "sell")})
+    fill = F.struct("pos", "date", "open")
+    rows = rows.withColumns({f"{s}_fill": F.min(F.when(F.col(f"{s}_reason").isNull(), fill)).over(ahead) for s in ("buy", "sell")})
+    return rows.withColumns({f"next_{s}": F.col(f"{s}_fill.pos") for s in ("buy", "sell")})
 
 
 def fee_rates(fees: DataFrame, dates: DataFrame) -> DataFrame:
@@ -82,10 +84,10 @@ def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees:
     offsets = dates.join(F.broadcast(settlement), F.col("date").between(F.col("valid_from"), F.col("valid_to"))).select(F.col("date").alias("entry_date"), "offset")
     rows = rows.withColumn("entry_block_reason", F.coalesce(reason, F.lit(""))).join(F.broadcast(offsets), "entry_date", "left")
     rows = rows.withColumn("due_pos", F.col("entry_pos") + F.greatest(F.lit(hold), F.coalesce("offset", F.lit(0))))
-    due = table.select("security_id", F.col("pos").alias("due_pos"), F.col("date").alias("scheduled_exit_date"), "next_buy", "next_sell")
-    rows = rows.join(due, ["security_id", "due_pos"], "left").withColumn("exit_pos", F.when(F.col("entry_block_reason") == "", F.when(long, F.col("next_sell")).otherwise(F.col("next_buy"))))
-    out = table.select("security_id", F.col("pos").alias("exit_pos"), F.col("date").alias("exit_date"), F.col("open").alias("exit_price"))
-    rows = rows.join(out, ["security_id", "exit_pos"], "left")
+    due = table.select("security_id", F.col("pos").alias("due_pos"), F.col("date").alias("scheduled_exit_date"), "buy_fill", "sell_fill")
+    fill = F.when(F.col("entry_block_reason") == "", F.when(long, F.col("sell_fill")).otherwise(F.col("buy_fill")))
+    rows = rows.join(due, ["security_id", "due_pos"], "left").withColumn("fill", fill)
+    rows = rows.withColumns({"exit_pos": F.col("fill.pos"), "exit_date": F.col("fill.date"), "exit_price": F.col("fill.open")})
     entered = F.col("entry_block_reason") == ""
     status = F.when(~entered, "ENTRY_REJECTED").when(F.col("exit_date").isNull(), "OPEN").otherwise("CLOSED")
     rows = rows.withColumns({"status": status, "entry_side": F.when(long, "buy").otherwise("sell"), "exit_side": F.when(long, "sell").otherwise("buy")})

@@ -121,7 +121,7 @@ ORACLE = {
     "consecutive_runs": oracle(["evidence"], """n AS (SELECT DISTINCT line * 2 + supplier_id % 3 AS v FROM evidence WHERE (line * 2 + supplier_id % 3) % 7 < 4),
       g AS (SELECT v, v - row_number() OVER (ORDER BY v) AS i FROM n) SELECT min(v) AS run_start, max(v) AS run_end, count(*) AS run_length FROM g GROUP BY i"""),
     "interval_overlaps": oracle(["aliases"], """w AS (SELECT *, max(valid_to) OVER e AS reach, max(CASE WHEN valid_to IS NULL THEN 1 ELSE 0 END) OVER e AS o FROM aliases
-      WINDOW e AS (PARTITION BY alias ORDER BY valid_from NULLS FIRST, valid_to NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      WINDOW e AS (PARTITION BY alias ORDER BY valid_from NULLS FIRST, valid_to NULLS LAST, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT entity_id, alias, valid_from, valid_to FROM w WHERE coalesce(o = 1, false) OR coalesce(valid_from < reach, false)"""),
     "degree": oracle(["edges"], f"{_NODES} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(1 - o) AS BIGINT) AS in_degree, count(DISTINCT other) AS total_degree FROM nodes GROUP BY node"),
     "node_roles": oracle(["edges"], f"{_NODES}, r AS (SELECT node, CASE WHEN max(o) = 1 AND min(o) = 0 THEN 'both' WHEN max(o) = 1 THEN 'supplier' ELSE 'customer' END AS role FROM nodes GROUP BY node) SELECT role, count(*) AS nodes FROM r GROUP BY role"),
@@ -170,5 +170,5 @@ ORACLE = {
       count(residual_return) FILTER (c) AS customer_neighbor_count, count(residual_return) FILTER (NOT c) AS supplier_neighbor_count, b.date AS graph_snapshot_date
       FROM b LEFT JOIN r ON r.date = b.date AND r.security_id = other GROUP BY b.date, b.security_id"""),
     "weak_components": oracle(["edges"], f"""{_SNAP.replace("FROM edges WHERE", "FROM edges WHERE customer_id % 3 = supplier_id % 3 AND")}, p AS (SELECT supplier_id AS a, customer_id AS b FROM snap UNION SELECT customer_id, supplier_id FROM snap),
-      reach AS (SELECT a AS node, a AS at FROM p UNION SELECT node, b FROM reach JOIN p ON a = at) SELECT node, min(at) AS component FROM reach GROUP BY node"""),
+      reach AS (SELECT a AS node, a AS top FROM p UNION SELECT node, b FROM reach JOIN p ON a = top) SELECT node, min(top) AS component FROM reach GROUP BY node"""),
 }

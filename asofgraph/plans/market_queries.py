@@ -122,7 +122,7 @@ QUERIES = {
         "signal_date", "security_id", "status", "entry_block_reason", "entry_date", "scheduled_exit_date", "exit_date", "exit_defer_count", "holding_period_trading_days", "gross_pnl"), 9, "gross_pnl"),
     "trade_costs": lambda s, d: _rounded(_trades(s, d).select("signal_date", "security_id", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl"), 9,
                                          "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl"),
-    "daily_pnl": lambda s, d: _rounded(portfolio.daily_pnl(_trades(s, d), frame(s, d, "calendar")), 8, "gross_pnl", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl", "turnover", "gross_exposure", "net_exposure"),
+    "daily_pnl": lambda s, d: _rounded(portfolio.daily_pnl(_trades(s, d), frame(s, d, "calendar")), 11, "gross_pnl", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl", "turnover", "gross_exposure", "net_exposure"),
 }
 
 _GRID = """cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM calendar),
@@ -229,9 +229,9 @@ ORACLE = {
       CASE WHEN status = 'CLOSED' THEN exit_pos - due_pos ELSE 0 END AS exit_defer_count, CASE status WHEN 'CLOSED' THEN exit_pos - entry_pos WHEN 'OPEN' THEN (SELECT max(pos) FROM cal) - entry_pos ELSE 0 END AS holding_period_trading_days, round(gross_pnl, 9) + 0.0 AS gross_pnl FROM tr"""),
     "trade_costs": oracle(_TRADE_TABLES, f"""{_TRADES}, c AS (SELECT signal_date, security_id, (en + xn) * 3 / 10000 AS a, (en + xn) * 10 / 10000 AS b, es + xs AS c, ev + xv AS d, gross_pnl FROM tr)
       SELECT signal_date, security_id, round(a, 9) + 0.0 AS commission_cost, round(b, 9) + 0.0 AS slippage_cost, round(c, 9) + 0.0 AS stamp_tax_cost, round(d, 9) + 0.0 AS venue_fee_cost, round(a + b + c + d, 9) + 0.0 AS total_cost, round(gross_pnl - (a + b + c + d), 9) + 0.0 AS net_pnl FROM c"""),
-    "daily_pnl": oracle(_TRADE_TABLES, f"""{_TRADES}, ev AS (SELECT entry_date AS date, en * 3 / 10000 AS a, en * 10 / 10000 AS b, es AS c, ev AS d, en AS t, 0 AS g, abs(target_weight) AS gs, target_weight AS ns, 0 AS k FROM tr WHERE status <> 'ENTRY_REJECTED'
+    "daily_pnl": oracle(_TRADE_TABLES, f"""{_TRADES}, ev AS (SELECT entry_date AS date, en * 3 / 10000 AS a, en * 10 / 10000 AS b, es AS c, ev AS d, en AS t, CAST(0 AS DOUBLE) AS gp, abs(target_weight) AS gs, target_weight AS ns, 0 AS k FROM tr WHERE status <> 'ENTRY_REJECTED'
       UNION ALL SELECT exit_date, xn * 3 / 10000, xn * 10 / 10000, xs, xv, xn, gross_pnl, -abs(target_weight), -target_weight, 1 FROM tr WHERE status = 'CLOSED'),
-      su AS (SELECT cal.date, pos, coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b, coalesce(sum(c), 0) AS c, coalesce(sum(d), 0) AS d, coalesce(sum(t), 0) AS t, coalesce(sum(g), 0) AS g, coalesce(sum(gs), 0) AS gs, coalesce(sum(ns), 0) AS ns, coalesce(sum(k), 0) AS k FROM cal LEFT JOIN ev ON ev.date = cal.date GROUP BY 1, 2)
-      SELECT date, round(g, 8) + 0.0 AS gross_pnl, round(a, 8) + 0.0 AS commission_cost, round(b, 8) + 0.0 AS slippage_cost, round(c, 8) + 0.0 AS stamp_tax_cost, round(d, 8) + 0.0 AS venue_fee_cost, round(a + b + c + d, 8) + 0.0 AS total_cost, round(g - (a + b + c + d), 8) + 0.0 AS net_pnl,
-      round(t, 8) + 0.0 AS turnover, round(sum(gs) OVER (ORDER BY pos), 8) + 0.0 AS gross_exposure, round(sum(ns) OVER (ORDER BY pos), 8) + 0.0 AS net_exposure, CAST(k AS BIGINT) AS closed_trade_count FROM su"""),
+      su AS (SELECT cal.date, pos, coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b, coalesce(sum(c), 0) AS c, coalesce(sum(d), 0) AS d, coalesce(sum(t), 0) AS t, coalesce(sum(gp), 0) AS gp, coalesce(sum(gs), 0) AS gs, coalesce(sum(ns), 0) AS ns, coalesce(sum(k), 0) AS k FROM cal LEFT JOIN ev ON ev.date = cal.date GROUP BY 1, 2)
+      SELECT date, round(CAST(gp AS DOUBLE), 11) + 0.0 AS gross_pnl, round(a, 11) + 0.0 AS commission_cost, round(b, 11) + 0.0 AS slippage_cost, round(c, 11) + 0.0 AS stamp_tax_cost, round(d, 11) + 0.0 AS venue_fee_cost, round(a + b + c + d, 11) + 0.0 AS total_cost, round(gp - (a + b + c + d), 11) + 0.0 AS net_pnl,
+      round(t, 11) + 0.0 AS turnover, round(sum(gs) OVER (ORDER BY pos), 11) + 0.0 AS gross_exposure, round(sum(ns) OVER (ORDER BY pos), 11) + 0.0 AS net_exposure, CAST(k AS BIGINT) AS closed_trade_count FROM su"""),
 }
