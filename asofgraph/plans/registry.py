@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofgraph.plans import graph_queries, market_queries
+from asofgraph.plans import graph_queries, market_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (graph_queries, market_queries)
+MODULES = (graph_queries, market_queries, text_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

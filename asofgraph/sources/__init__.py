@@ -1 +1 @@
-"""See the module list in README.md."""
+"""Readers and writers: typed tables, raw asset manifests, workbooks, cached endpoint pages, documents."""

@@ -1 +1 @@
-"""See the module list in README.md."""
+"""Structured Streaming versions of operators that make sense on unbounded input."""
