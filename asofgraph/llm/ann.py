@@ -95,11 +95,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLO
     Blocks of queries meet blocks of vectors, each pair in one task with bounded memory; a pair
     returns k rows a query.
     """
-    data, asked = prepared(vectors.filter("vec_id IS NOT NULL")), prepared(queries.filter("vec_id IS NOT NULL"))
+    data, asked = (prepared(side.select("vec_id", "embedding").filter("vec_id IS NOT NULL")) for side in (vectors, queries))
     n = data.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     m = asked.groupBy("dim").agg(F.ceil(F.count("*") / query_block).cast("int").alias("asked"))
     plan = n.join(m, "dim")  # a row for each dimension
-    side = lambda df, own, other: df.join(F.broadcast(plan), "dim").select(
+    side = lambda df, own, other: df.join(plan, "dim").select(
         "dim", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).toDF("dim", "vec_id", "embedding", own, other)  # names of its own
     keys = ["dim", "blocks", "asked"]

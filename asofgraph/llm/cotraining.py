@@ -214,8 +214,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that score THRESHOLD or more."""
     model, names = train(docs, labels), docs.columns
+    slots = next(n for n in (f"slots{'_' * k}" for k in range(len(names) + 1)) if n not in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            yield batch.filter(pa.array(_score(model, batch)[0] >= THRESHOLD)).select(names)
-    return docs.withColumn("slots", meta_slots()).mapInArrow(run, docs.schema)
+            views = pa.RecordBatch.from_arrays([batch["text"], batch[slots]], names=["text", "slots"])
+            yield batch.filter(pa.array(_score(model, views)[0] >= THRESHOLD)).select(names)
+    return docs.withColumn(slots, meta_slots()).mapInArrow(run, docs.schema)

@@ -102,15 +102,17 @@ def first_words(text: pd.Series, due: pd.Series) -> pd.Series:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each as often as it is taken, the last time with the words still due.
 
-    Columns are those of ``docs`` (doc_id, text, lang, source, n_chars); a document of which no
+    Columns are those of ``docs`` (doc_id, text, source and any others; n_chars follows the text); a document of which no
     word is taken goes, one without words stays once. doc_id is taken to be unique.
     """
     found = mix(docs, **how).select(F.col("doc_id").alias("id"), "size", "taken")
-    rows = docs.join(found, F.col("doc_id") == F.col("id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(found, F.col("row.doc_id").eqNullSafe(F.col("id")))
     copies = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))
     )
     rows = rows.filter("size = 0 OR taken > 0").withColumn("due", F.explode(copies))
     part = F.col("due") < F.col("size")
-    text = F.when(part, first_words(F.when(part, F.col("text")), F.col("due"))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    text = F.when(part, first_words(F.when(part, F.col("row.text")), F.col("due"))).otherwise(F.col("row.text"))
+    rows = rows.withColumn("new", text)
+    own = {"text": F.col("new"), "n_chars": F.coalesce(F.length("new"), F.lit(0)).cast("long")}
+    return rows.select(*((own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns))

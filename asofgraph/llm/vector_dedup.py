@@ -113,7 +113,7 @@ def vector_components(vectors: DataFrame, least: float = LEAST_COSINE, nearest:
     sample = classes.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(number).select("embedding").collect()
     dims = [len(r.embedding) for r in sample]
     dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
-    pivots = np.array([r.embedding for r in sample if len(r.embedding) == dim], np.float64).reshape(-1, dim)
+    pivots = np.array([r.embedding for r in sample if len(r.embedding) == dim], np.float64).reshape(-1, max(dim, 1))
     pivots /= norms(pivots)[:, None]
     shared, nearest = min(shared, max(1, len(pivots))), min(nearest, max(1, len(pivots)))
     schema = "label long, rep long, n long, embedding array<float>, pivots array<int>, pivot int"
