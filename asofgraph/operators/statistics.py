@@ -57,6 +57,7 @@ def newey_west(rows: DataFrame, value: str, order: str, lags: int) -> DataFrame:
 
 def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
     """Lower and upper end of the Wilson interval; null without trials."""
+    trials = trials.cast("double")
     p = F.try_divide(successes, trials)
     middle = p + z * z / (2 * trials)
     half = z * F.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))
