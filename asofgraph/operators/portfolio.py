@@ -46,9 +46,9 @@ def block_reason(side: str, least_amount: float) -> Column:
         .when(F.coalesce(F.col("amount"), F.lit(0.0)) < least_amount, "below_minimum_liquidity"))
 
 
-def fills(panel: DataFrame, securities: DataFrame, calendar: DataFrame, least_amount: float) -> DataFrame:
-    """For every security and trading date: reasons by side, and where, when and at what open each side fills next."""
-    cells = securities.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar)))
+def fills(panel: DataFrame, calendar: DataFrame, least_amount: float) -> DataFrame:
+    """For every security of the panel and trading date: reasons by side, and where, when and at what open each side fills next."""
+    cells = panel.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar)))
     rows = cells.join(panel.select("date", "security_id", "open", "amount", "tradable", "suspended", "limit_up", "limit_down", F.lit(True).alias("present")), ["date", "security_id"], "left")
     rows = rows.withColumns({"buy_reason": block_reason("buy", least_amount), "sell_reason": block_reason("sell", least_amount)})
     ahead = Window.partitionBy("security_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
@@ -74,17 +74,21 @@ def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees:
     computed once for each security, so an exit is a lookup.
     """
     dates = numbered(calendar)
-    table = fills(panel, weights, calendar, least_amount)
+    table = fills(panel, calendar, least_amount)
     last = dates.agg(F.max("pos").alias("last_pos"))
-    at = weights.join(F.broadcast(dates.withColumnRenamed("date", "signal_date").withColumnRenamed("pos", "signal_pos")), "signal_date").crossJoin(F.broadcast(last))
+    named = lambda name: F.broadcast(dates.select(F.col("pos").alias(f"{name}_pos"), F.col("date").alias(f"{name}_date")))
+    at = weights.join(named("signal"), "signal_date").crossJoin(F.broadcast(last))
     long = F.col("target_weight") > 0
-    entry = table.select(F.col("security_id"), F.col("pos").alias("entry_pos"), F.col("date").alias("entry_date"), F.col("open").alias("entry_price"), F.col("buy_reason"), F.col("sell_reason"))
-    rows = at.withColumn("entry_pos", F.col("signal_pos") + 1).join(entry, ["security_id", "entry_pos"], "left")
-    reason = F.when(F.col("entry_date").isNull(), "no_next_trading_day").otherwise(F.when(long, F.col("buy_reason")).otherwise(F.col("sell_reason")))
+    entry = table.select("security_id", F.col("pos").alias("entry_pos"), F.col("open").alias("entry_price"), "buy_reason", "sell_reason", F.lit(True).alias("known"))
+    rows = at.withColumn("entry_pos", F.col("signal_pos") + 1).join(named("entry"), "entry_pos", "left").join(entry, ["security_id", "entry_pos"], "left")
+    reason = (
+        F.when(F.col("entry_date").isNull(), "no_next_trading_day").when(F.col("known").isNull(), "missing_market_row")
+        .when(long, F.col("buy_reason")).otherwise(F.col("sell_reason")))
     offsets = dates.join(F.broadcast(settlement), F.col("date").between(F.col("valid_from"), F.col("valid_to"))).select(F.col("date").alias("entry_date"), "offset")
     rows = rows.withColumn("entry_block_reason", F.coalesce(reason, F.lit(""))).join(F.broadcast(offsets), "entry_date", "left")
     rows = rows.withColumn("due_pos", F.col("entry_pos") + F.greatest(F.lit(hold), F.coalesce("offset", F.lit(0))))
-    due = table.select("security_id", F.col("pos").alias("due_pos"), F.col("date").alias("scheduled_exit_date"), "buy_fill", "sell_fill")
+    rows = rows.join(named("due").withColumnRenamed("due_date", "scheduled_exit_date"), "due_pos", "left")
+    due = table.select("security_id", F.col("pos").alias("due_pos"), "buy_fill", "sell_fill")
     fill = F.when(F.col("entry_block_reason") == "", F.when(long, F.col("sell_fill")).otherwise(F.col("buy_fill")))
     rows = rows.join(due, ["security_id", "due_pos"], "left").withColumn("fill", fill)
     rows = rows.withColumns({"exit_pos": F.col("fill.pos"), "exit_date": F.col("fill.date"), "exit_price": F.col("fill.open")})

@@ -117,7 +117,7 @@ QUERIES = {
     "placebo": placebo,
     "quantile_weights": lambda s, d: _rounded(_weights(s, d), 9, "target_weight"),
     "validate_weights": lambda s, d: _rounded(portfolio.weight_check(_weights(s, d), cap=0.05), 9, "gross", "net", "largest"),
-    "block_reasons": lambda s, d: portfolio.fills(panel(s, d), frame(s, d, "security_master"), frame(s, d, "calendar"), 20000.0).select("date", "security_id", "buy_reason", "sell_reason", "next_buy", "next_sell"),
+    "block_reasons": lambda s, d: portfolio.fills(panel(s, d), frame(s, d, "calendar"), 20000.0).select("date", "security_id", "buy_reason", "sell_reason", "next_buy", "next_sell"),
     "round_trips": lambda s, d: _rounded(_trades(s, d).select(
         "signal_date", "security_id", "status", "entry_block_reason", "entry_date", "scheduled_exit_date", "exit_date", "exit_defer_count", "holding_period_trading_days", "gross_pnl"), 9, "gross_pnl"),
     "trade_costs": lambda s, d: _rounded(_trades(s, d).select("signal_date", "security_id", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl"), 9,
