@@ -19,10 +19,11 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import materialize, pieces, read_table
+from asofgraph.llm.common import materialize, pieces, read_table, small_batches
 
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,13 +232,22 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in pieces(batches, "html"):
+        html = [squeeze.compress((h or "").encode()) for h in batch["html"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["page_id"], batch["url"], pa.array(html, pa.binary())], names=["key", "page_id", "url", "html"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    loosen = zstandard.ZstdDecompressor()
+    for batch in pieces(batches, "html", 1 << 20):
         columns = [batch[c].to_pylist() for c in ("html", "path", "before", "after")]
         texts = []
-        for page, path, before, after in zip(*columns, strict=True):
+        for packed, path, before, after in zip(*columns, strict=True):
+            page = loosen.decompress(packed).decode()
             near = nearer(path or "", *(x and (x["path"], x["outline"]) for x in (before, after)))
-            texts.append(main_text(lines_of(page or ""), near and near[1]))
+            texts.append(main_text(lines_of(page), near and near[1]))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -270,10 +280,12 @@ def extract(pages: DataFrame) -> DataFrame:
     a marked article keeps all lines but chrome, shared lines and lines that are mostly links.
     Other columns are ignored. Ties of nearness go to the page before.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
     outlines = materialize(rows.mapInArrow(_outlines, _OUTLINE), "outlines").dropDuplicates(["key"])
     near = neighbours(outlines.filter("host IS NOT NULL"))
-    return rows.join(near, "key", "left").select("page_id", "url", "html", "path", "before", "after").mapInArrow(_texts, _TEXT)
+    packed = rows.mapInArrow(_packed, "key long, page_id long, url string, html binary")  # texts cross the network once, small
+    return packed.join(near, "key", "left").select("page_id", "url", "html", "path", "before", "after").mapInArrow(_texts, _TEXT)
 
 
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
