@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from collections.abc import Iterator
@@ -33,16 +34,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with at most ``limit`` bytes in ``column``, one row at least."""
-    for batch in batches:
-        lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
-        total, start = np.cumsum(lengths, dtype=np.int64), 0
-        while start < batch.num_rows:
-            base = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            lengths = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+            total, start = np.cumsum(lengths, dtype=np.int64), 0
+            while start < batch.num_rows:
+                base = total[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python worker lives on for tasks that need less."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows an Arrow batch from here on in this session: whole texts go through, several MB a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import pieces, read_table
+from asofgraph.llm.common import pieces, read_table, small_batches
 from asofgraph.llm.shingles import shingle_sets, text_bytes, words
 
 #: Bounds of what the fit gathers: labelled rows, and documents that pseudo-labels may come from.
@@ -159,6 +159,7 @@ def _view_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", meta_slots().alias("slots"))
 
 

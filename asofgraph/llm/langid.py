@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import pieces, read_table
+from asofgraph.llm.common import pieces, read_table, small_batches
 from asofgraph.llm.shingles import text_bytes
 
 DIMENSIONS = 1 << 13
@@ -117,6 +117,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     At most about ``sample`` rows, evenly over the languages, are gathered as bitmaps of
     DIMENSIONS bits. Whether a row is drawn depends on its doc_id alone.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     counts = {r["lang"]: r["count"] for r in counts.collect()}
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     ``und`` with score 0 where the text is null or has no letter, and everywhere without a model.
     Ties go to the language first in order. Repeated rows stay; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -56,14 +56,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return rows.select("source", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of ``docs``.
-
-    size is the number of words (null text: 0), taken the words the mix takes with repeats, at
-    most max_epochs times size; the words taken of a source add up to its target rounded. A null
-    source is a source. Repeated rows are rows of their own; ties of the seeded order (equal
-    doc_id) are ordered by size, and equal rows share what they take evenly up to one word. Empty
-    tables and empty sources give no row and target 0.
+def _placed(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """Every row with its source's figures and the words before it in the seeded order.
 
     Running sums are over seeded buckets first and inside a bucket second, so that a source with
     a third of all rows needs no single task.
@@ -72,18 +66,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     targets = source_targets(sized, weights, share, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
+    rows = sized.withColumn("draw", drawn(seed)).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
     starts = per.select("source", "bucket", before.alias("start")).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("within", within).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.select("doc_id", "source", "size", (F.col("start") + F.col("within") - F.col("size")).alias("before"))
+    placed = placed.select("doc_id", "source", "size", "bucket", "draw", (F.col("start") + F.col("within") - F.col("size")).alias("before"))
     targets = targets.withColumnRenamed("source", "t")
-    joined = placed.join(targets, F.col("source").eqNullSafe(F.col("t")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.join(targets, F.col("source").eqNullSafe(F.col("t")))
+
+
+def drawn(seed: int) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+
+
+def _part() -> F.Column:
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of ``docs``.
+
+    size is the number of words (null text: 0), taken the words the mix takes with repeats, at
+    most max_epochs times size; the words taken of a source add up to its target rounded. A null
+    source is a source. Repeated rows are rows of their own; ties of the seeded order (equal
+    doc_id) are ordered by size. Empty tables and empty sources give no row and target 0.
+    """
+    rows = _placed(docs, weights, share, max_epochs, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + _part()).cast("long").alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,20 +110,29 @@ def first_words(text: pd.Series, due: pd.Series) -> pd.Series:
     return pd.Series([t[:e] if t else t for t, e in zip(text, ends, strict=True)], dtype=object)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The documents of the mix: each as often as it is taken, the last time with the words still due.
 
-    Columns are those of ``docs`` (doc_id, text, source and any others; n_chars follows the text); a document of which no
-    word is taken goes, one without words stays once. doc_id is taken to be unique.
+    Columns are those of ``docs`` (doc_id, text, source and any others; n_chars follows the text); a document
+    of which no word is taken goes, one without words stays once. A source's share of the seeded
+    order ends at one row, so all that meets the texts is a table of one row a source; rows equal in doc_id and
+    size to that border row are cut alike.
     """
-    found = mix(docs, **how).select(F.col("doc_id").alias("id"), "size", "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(found, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    rows = _placed(docs, weights, share, max_epochs, seed)
+    key = lambda *names: F.struct(*(F.coalesce(F.col(n), F.lit(-(1 << 62))).alias(n.rpartition(".")[2]) for n in names))
+    border = F.max(F.when(F.col("before") < F.col("rest"), F.struct(*(key("bucket", "draw", "doc_id", "size")[n].alias(n) for n in ("bucket", "draw", "doc_id", "size")), _part().alias("part"))))
+    cuts = materialize(rows.groupBy("source").agg(F.first("whole").alias("whole"), border.alias("border")), "cuts").withColumnRenamed("source", "from")
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    held = held.withColumn("draw", drawn(seed)).withColumn("bucket", F.pmod("draw", F.lit(BUCKETS))).join(cuts, F.col("source").eqNullSafe(F.col("from")))
+    own, end = key("bucket", "draw", "doc_id", "size"), key("border.bucket", "border.draw", "border.doc_id", "border.size")
+    more = F.when(F.col("border").isNull() | (own > end), 0).when(own == end, F.col("border.part")).otherwise(F.col("size"))
+    held = held.withColumn("taken", F.col("whole") * F.col("size") + more).filter("size = 0 OR taken > 0")
     copies = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size"))), lambda k: F.least(F.col("size"), F.col("taken") - (k - 1) * F.col("size")))
     )
-    rows = rows.filter("size = 0 OR taken > 0").withColumn("due", F.explode(copies))
+    held = held.withColumn("due", F.explode(copies))
     part = F.col("due") < F.col("size")
     text = F.when(part, first_words(F.when(part, F.col("row.text")), F.col("due"))).otherwise(F.col("row.text"))
-    rows = rows.withColumn("new", text)
-    own = {"text": F.col("new"), "n_chars": F.coalesce(F.length("new"), F.lit(0)).cast("long")}
-    return rows.select(*((own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns))
+    held = held.withColumn("new", text)
+    changed = {"text": F.col("new"), "n_chars": F.coalesce(F.length("new"), F.lit(0)).cast("long")}
+    return held.select(*((changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import components, local_roots, materialize, pieces, read_table, splitmix
+from asofgraph.llm.common import components, give_back, local_roots, materialize, pieces, read_table, small_batches, splitmix
 from asofgraph.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -293,6 +293,8 @@ def _groups(percent: int):
                 parts.append(tuple(rest))
         if parts:
             yield from done()
+        parts.clear()
+        give_back()
     return run
 
 
@@ -410,6 +412,8 @@ def _by_key(key: str, take, act):
                 held.append(row)
         if held:
             yield from act(held)
+        held = []
+        give_back()
     return run
 
 
@@ -453,6 +457,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = materialize(texts.mapInArrow(_profile(width), _PROFILE), "profile")

@@ -28,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(docs)
     dropped = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    dropped = materialize(dropped, "dropped")  # a table of known size: few identifiers needn't shuffle the texts
     return docs.join(dropped, "doc_id", "left_anti")
 
 
