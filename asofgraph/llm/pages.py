@@ -4,8 +4,9 @@ A page is cut into text lines, one a block element. Lines of elements that say w
 (menus, footers, forms, scripts and so on) never count. The rest are aligned, by longest common
 subsequence, with the lines of the page of the same host whose URL path is nearest, and lines that both
 have are template: they go. Lines inside a marked article are the article by the page's own word,
-so alignment never deletes them; and pages that agree for the most part are copies, not pages of
-one template, and lose nothing to each other.
+so alignment never deletes them: on a marked page markup alone decides. Pages that agree for the most
+part are copies, not pages of one template, and lose nothing to each other; the page on the other
+side is then asked.
 """
 
 from __future__ import annotations
@@ -185,16 +186,21 @@ def line_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def main_text(lines: list[Line], other: list[int] | None) -> str:
-    """The lines that are neither outside the page's article nor shared with the other page."""
-    marked = any(x.article for x in lines)
-    shared: set[int] = set()
-    if other:
-        shared = set(common_subsequence([line_hash(x.text) for x in lines], other))
-        if sum(len(lines[k].text) for k in shared) > COPY_SHARE * sum(len(x.text) for x in lines):
-            shared = set()
-    if marked:
+def template_of(lines: list[Line], others: tuple[list[int] | None, ...]) -> set[int]:
+    """Places of the lines shared with the first of the other pages that isn't a copy; none if all are."""
+    own, size = [line_hash(x.text) for x in lines], sum(len(x.text) for x in lines)
+    for other in others:
+        shared = set(common_subsequence(own, other)) if other else set()
+        if other and sum(len(lines[k].text) for k in shared) <= COPY_SHARE * size:
+            return shared
+    return set()
+
+
+def main_text(lines: list[Line], *others: list[int] | None) -> str:
+    """The marked article's lines; without one, those that aren't template by the other pages, nearest first."""
+    if any(x.article for x in lines):
         return "\n".join(x.text for x in lines if x.article)
+    shared = template_of(lines, others)
     return "\n".join(x.text for k, x in enumerate(lines) if k not in shared and x.linked < 0.8 * len(x.text))
 
 
@@ -210,11 +216,11 @@ def url_key(url: str | None) -> tuple[str | None, str]:
     return host, found.path + (f"?{found.query}" if found.query else "")
 
 
-def nearer(path: str, before: tuple | None, after: tuple | None) -> tuple | None:
-    """Of two (path, lines), the one with the longer common beginning; the earlier on a tie."""
+def nearest_first(path: str, before: tuple | None, after: tuple | None) -> list[tuple]:
+    """The (path, lines) that are there, the longer common beginning first; the earlier on a tie."""
     both = [x for x in (before, after) if x is not None]
     alike = lambda x: next((k for k, (p, q) in enumerate(zip(path, x[0], strict=False)) if p != q), min(len(path), len(x[0])))
-    return max(both, key=alike, default=None)
+    return sorted(both, key=alike, reverse=True)
 
 
 _OUTLINE = "key long, host string, path string, page_id long, outline array<long>"
@@ -246,8 +252,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for packed, path, before, after in zip(*columns, strict=True):
             page = loosen.decompress(packed).decode()
-            near = nearer(path or "", *(x and (x["path"], x["outline"]) for x in (before, after)))
-            texts.append(main_text(lines_of(page), near and near[1]))
+            near = nearest_first(path or "", *(x and (x["path"], x["outline"]) for x in (before, after)))
+            texts.append(main_text(lines_of(page), *(outline for _, outline in near)))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

@@ -40,6 +40,15 @@ def test_differencing_deletes_template_lines_only_outside_articles():
     assert text_of(marked.format(1, 1), marked.format(2, 2)) == "shared\nown 1\nlonger own text 1"
 
 
+def test_copy_next_door_gives_way_to_the_page_on_the_other_side(spark):
+    frame = "<div><p>Site name</p><p>{} body with many words of its own</p></div>"
+    rows = [(1, "http://a.example/x/1", frame.format("one")), (2, "http://a.example/x/1b", frame.format("one")), (3, "http://a.example/y", frame.format("three"))]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[2] == "one body with many words of its own"  # 1 is nearer, but a copy
+    assert found[1] == "Site name\none body with many words of its own"  # next to a copy only
+    assert found[3] == "three body with many words of its own"
+
+
 def test_common_subsequence_is_longest():
     draw = random.Random(1)
     for _ in range(200):
