@@ -5,6 +5,11 @@ but letters one blank), hashed to ``DIMENSIONS`` places. The kernel of two texts
 their presence vectors. Nyström: kernels with a few landmark texts stand for the whole kernel
 matrix. One ridge regression for each language is fitted on them, and every text is scored by two
 matrix products a batch: presence by landmarks, kernels by coefficients.
+
+The regressions share one design and an intercept, so their outputs sum to a constant and the best of few
+languages is never low: a score says which language, not whether any. That is told by the share of a
+text's n-grams that no fitted text has, against that share in the fitted texts themselves, each left out
+in turn. All languages count together, as a text may mix them.
 """
 
 from __future__ import annotations
@@ -31,6 +36,9 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 #: Scores below this mean that no language claims the text.
 REJECT_BELOW = 0.25
+#: Share of unseen n-grams that is always allowed; where fitted texts have more, SLACK times their 99th percentile is.
+UNSEEN = 0.1
+SLACK = 2.0
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -61,6 +69,8 @@ class Model:
     languages: tuple[str, ...]
     landmarks: np.ndarray  # dimensions x landmarks, each at unit length
     weights: np.ndarray  # landmarks + 1 x languages
+    seen: np.ndarray  # dimensions, 1 where a fitted text has the n-gram
+    unseen: float  # share of other n-grams allowed
 
     def kernel(self, rows: np.ndarray) -> np.ndarray:
         x = rows.astype(np.float32)
@@ -73,6 +83,24 @@ class Model:
         return best, np.clip((value[np.arange(len(best)), best].astype(np.float64) + 1) / 2, 0, 1)
 
 
+    def claimed(self, rows: np.ndarray) -> np.ndarray:
+        """Whether enough of each text's n-grams were seen in fitted texts.
+
+        Beyond the share allowed, as many as chance may add to so few n-grams (two deviations and one):
+        texts too short to tell are claimed.
+        """
+        n = rows.sum(1, dtype=np.int64)
+        allowed = self.unseen * n + 2 * np.sqrt(self.unseen * (1 - self.unseen) * n) + 1
+        return n - rows.astype(np.float32) @ self.seen <= allowed
+
+
+def spectrum_of(rows: np.ndarray) -> tuple[np.ndarray, float]:
+    """(seen, unseen) of Model. A fitted text's own share counts what no other fitted text has."""
+    count = rows.sum(0, dtype=np.int64)
+    share = rows.astype(np.float32) @ (count == 1).astype(np.float32) / np.maximum(rows.sum(1, dtype=np.int64), 1)
+    return (count > 0).astype(np.float32), min(1.0, max(UNSEEN, SLACK * float(np.quantile(share, 0.99))))
+
+
 def fit(rows: np.ndarray, langs: list[str]) -> Model:
     """``rows`` in a fixed order: landmarks are taken from the languages in turn."""
     names, y = np.unique(langs, return_inverse=True)
@@ -82,6 +110,7 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     chosen = np.lexsort((y, turn))[:LANDMARKS]
     unit = rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1))[:, None].astype(np.float32)
     landmarks = np.ascontiguousarray(unit[chosen].T)
+    spectrum = spectrum_of(rows)
     value, vector = np.linalg.eigh((unit[chosen] @ landmarks).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # kernels times this: the Nyström features
@@ -90,11 +119,11 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     weight *= len(y) / weight.sum()
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     if len(names) == 1:
-        return Model(tuple(names.tolist()), landmarks, np.vstack((np.zeros((len(chosen), 1)), np.ones(1))).astype(np.float32))
+        return Model(tuple(names.tolist()), landmarks, np.vstack((np.zeros((len(chosen), 1)), np.ones(1))).astype(np.float32), *spectrum)
     mean, base = np.average(z, 0, weight), np.average(target, 0, weight)
     centred = (z - mean) * weight[:, None]
     inner = np.linalg.solve(centred.T @ (z - mean) + RIDGE * len(y) * np.eye(z.shape[1]) * 0.1, centred.T @ (target - base))
-    return Model(tuple(names.tolist()), landmarks, np.vstack((root @ inner, base - mean @ inner)).astype(np.float32))
+    return Model(tuple(names.tolist()), landmarks, np.vstack((root @ inner, base - mean @ inner)).astype(np.float32), *spectrum)
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +133,7 @@ def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def has_letters(text: pa.Array) -> np.ndarray:
-    return pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    return pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False).copy()
 
 
 def held_out() -> F.Column:
@@ -166,12 +195,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is found with a score of REJECT_BELOW or more."""
+    """The rows of ``docs``, all columns as they are, that a language claims with a score of REJECT_BELOW or more.
+
+    Null and letterless texts go, texts with too many n-grams that no fitted text has, and all without a model.
+    """
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = next(_predict(model)(iter([batch.select(["text"])])))
-            good = pc.and_(pc.not_equal(found["lang_pred"], UNKNOWN), pc.greater_equal(found["score"], REJECT_BELOW))
-            yield batch.filter(good)
+            good = has_letters(batch["text"]) if model is not None else np.zeros(batch.num_rows, bool)
+            if good.any():
+                rows = presence(batch["text"].filter(pa.array(good)))
+                good[good] = (model.decide(rows)[1] >= REJECT_BELOW) & model.claimed(rows)
+            yield batch.filter(pa.array(good))
     return docs.mapInArrow(run, docs.schema)

@@ -230,6 +230,16 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(frame, None).collect()} == {"und"}
 
 
+def test_language_stage_rejects_lettered_text_of_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(12)
+    noise = " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 9))) for _ in range(60))
+    other = ["Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί", "日本語の文章はここにあります。猫が好きです。", "xq zjw kvp qqx wzz jkh vbx pqz xxk zwq jvk qhx", noise]
+    odd = docs_frame(spark, [(10**9 + k, t, None, "s") for k, t in enumerate(other)])
+    kept = {r.doc_id for r in langid.keep_identified(docs.select("doc_id", "text", "lang", "source").union(odd.select("doc_id", "text", "lang", "source"))).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_cotraining_separates_and_keeps_edges(spark):
     draw, rows, labels = random.Random(10), [], []
     for i in range(500):
