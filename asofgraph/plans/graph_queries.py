@@ -95,7 +95,7 @@ QUERIES = {
     "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d).filter("source_document_id % 11 > 0")),
     "gate_verdict": lambda s, d: graph.gate(graph.yearly_diagnostics(_edges(s, d), _years(s)), 100, 20, 3, 50.0),
     "signal_diffusion": signal_diffusion,
-    "weak_components": lambda s, d: graph.weak_components(graph.snapshot(_edges(s, d).filter("customer_id % 3 = supplier_id % 3"), _as_of())),
+    "weak_components": lambda s, d: graph.weak_components(graph.snapshot(_edges(s, d), _as_of())),
 }
 
 _SNAP = f"snap AS (SELECT * FROM edges WHERE effective_start <= TIMESTAMP '{AS_OF}' AND effective_end > TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY supplier_id, customer_id ORDER BY effective_start DESC NULLS LAST, relationship_confidence DESC NULLS LAST, source_document_id DESC NULLS LAST) = 1)"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from asofgraph.functions import names
 from asofgraph.operators import contracts, graph, intervals, market, portfolio, quality, residuals, resolve, statistics
+from asofgraph.plans import registry
 from asofgraph.sources import assets, tables
 from asofgraph.streaming.edges import disclosure_counts, edge_stream
 
@@ -163,6 +164,21 @@ def test_placebo_keeps_degrees_and_bootstrap_repeats(spark):
     assert one == two and len({m for _, m in one}) > 10
 
 
+def test_registered_components_match_union_find(spark):
+    d = "/root/testdata/sf0.001"
+    edges = [(r.supplier_id, r.customer_id) for r in registry.queries()["snapshot_asof"](spark, d).collect()]
+    root = {k: k for e in edges for k in e}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert edges and {r.node: r.component for r in registry.queries()["weak_components"](spark, d).collect()} == {k: find(k) for k in root}
+
+
 def test_quantile_weights(spark):
     signals = spark.createDataFrame([(D(2020, 1, 2), f"S{k:02d}", float(k)) for k in range(10)], "date date, security_id string, s double")
     found = {r.security_id: r.target_weight for r in portfolio.quantile_weights(signals, "s").collect()}
