@@ -116,26 +116,40 @@ def block_bootstrap(series: DataFrame, value: str, order: str, block: int, repli
     return series.sparkSession.range(replications).withColumnRenamed("id", "replication").mapInPandas(run, "replication long, mean double")
 
 
-def placebo_edges(pairs: DataFrame, seeds: int, tries: int = 1000) -> DataFrame:
-    """(seed, supplier_id, customer_id): customers shuffled among suppliers, both degrees kept.
+def placebo_edges(pairs: DataFrame, seeds: int, rounds: int = 20) -> DataFrame:
+    """(seed, supplier_id, customer_id): customers exchanged among suppliers, both degrees kept.
 
-    A shuffle counts if it has no self-edge, no repeated pair and differs from the graph. A seed
-    without such a shuffle gives no row. The distinct pairs of a snapshot are sent to the tasks.
+    Each round deals every seed's edges in pairs at random; a pair exchanges customers unless that
+    makes a self-edge, a pair that is there or one that another exchange makes too. So no pair ever
+    repeats. A seed whose edges end as the graph or with a self-edge of the graph has failed and
+    gives one row with null ends. Edges stay distributed; rounds are written with checkpoint().
     """
-    edges = [(r[0], r[1]) for r in pairs.select("supplier_id", "customer_id").distinct().orderBy("supplier_id", "customer_id").collect()]
-    kind = pairs.schema["supplier_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = set(edges)
-        for batch in batches:
-            out = []
-            for seed in batch["seed"]:
-                draw, ends = random.Random(int(seed)), [c for _, c in edges]
-                for _ in range(tries):
-                    draw.shuffle(ends)
-                    made = {(s, c) for (s, _), c in zip(edges, ends, strict=True)}
-                    if len(made) == len(edges) and all(s != c for s, c in made) and made != known:
-                        out += [(seed, s, c) for s, c in sorted(made)]
-                        break
-            yield pd.DataFrame(out, columns=["seed", "supplier_id", "customer_id"])
-    return pairs.sparkSession.range(seeds).withColumnRenamed("id", "seed").mapInPandas(run, f"seed long, supplier_id {kind}, customer_id {kind}")
+    spark = pairs.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    known = pairs.select(F.col("supplier_id").alias("s"), F.col("customer_id").alias("c")).distinct().checkpoint()
+    groups = known.count() // 8 + 1
+    ids = spark.range(seeds).withColumnRenamed("id", "seed")
+    made = known.crossJoin(F.broadcast(ids)).select("seed", "s", "c")
+    for k in range(rounds):
+        rows = made.withColumn("draw", F.xxhash64(F.lit(k), "seed", "s", "c")).withColumn("group", F.pmod("draw", F.lit(groups)))
+        dealt = Window.partitionBy("seed", "group").orderBy("draw", "s", "c")
+        rows = rows.withColumn("place", F.row_number().over(dealt) - 1)
+        end = F.struct("s", "c")
+        rows = rows.withColumn("with", F.when(F.col("place") % 2 == 0, F.lead(end).over(dealt)).otherwise(F.lag(end).over(dealt)))
+        fit = (F.col("with.s") != F.col("s")) & (F.col("with.c") != F.col("c")) & (F.col("with.c") != F.col("s"))
+        rows = rows.withColumn("to", F.when(fit, F.col("with.c")))
+        both = rows.withColumn("x", F.explode(F.array(F.struct(F.lit(False).alias("new"), F.col("c").alias("c")), F.struct(F.lit(True).alias("new"), F.col("to").alias("c")))))
+        both = both.withColumn("alone", F.count("*").over(Window.partitionBy("seed", "s", "x.c")) == 1)
+        free = both.filter(F.col("x.new")).withColumn("free", F.col("to").isNotNull() & F.col("alone"))
+        pair = Window.partitionBy("seed", "group", F.floor(F.col("place") / 2))
+        free = free.withColumn("free", F.min("free").over(pair) & (F.count("*").over(pair) == 2))
+        made = free.select("seed", "s", F.when(F.col("free"), F.col("to")).otherwise(F.col("c")).alias("c"))
+        if k % 4 == 3 or k == rounds - 1:
+            made = made.checkpoint()
+    moved = made.join(known.withColumn("old", F.lit(True)), ["s", "c"], "left").groupBy("seed").agg(F.count_if(F.col("old").isNull()).alias("moved"), F.count_if(F.col("s") == F.col("c")).alias("loops"))
+    good = moved.filter("moved > 0 AND loops = 0").select("seed")
+    kind = pairs.schema["supplier_id"].dataType
+    found = made.join(F.broadcast(good), "seed").select("seed", F.col("s").alias("supplier_id"), F.col("c").alias("customer_id"))
+    failed = ids.join(F.broadcast(good), "seed", "left_anti").select("seed", F.lit(None).cast(kind).alias("supplier_id"), F.lit(None).cast(kind).alias("customer_id"))
+    return found.union(failed)

@@ -164,6 +164,27 @@ def test_placebo_keeps_degrees_and_bootstrap_repeats(spark):
     assert one == two and len({m for _, m in one}) > 10
 
 
+def test_placebo_of_a_dense_graph_and_seeds_that_fail(spark):
+    base = [(a, b) for a in range(40) for b in range(40) if a != b and (a * 7 + b * 11) % 5 < 2]
+    found = {}
+    for r in statistics.placebo_edges(spark.createDataFrame(base, "supplier_id long, customer_id long"), 3).collect():
+        found.setdefault(r.seed, []).append((r.supplier_id, r.customer_id))
+    assert sorted(found) == [0, 1, 2] and len({tuple(sorted(m)) for m in found.values()}) == 3
+    for made in found.values():
+        assert len(set(made)) == len(made) == len(base) and all(a != b for a, b in made)
+        assert len(set(made) & set(base)) < 0.7 * len(base)
+        assert all(sorted(e[k] for e in made) == sorted(e[k] for e in base) for k in (0, 1))
+    full = spark.createDataFrame([(a, b) for a in (1, 2) for b in (3, 4)], "supplier_id long, customer_id long")
+    assert sorted(map(tuple, statistics.placebo_edges(full, 2).collect())) == [(0, None, None), (1, None, None)]
+
+
+def test_registered_placebo_takes_the_whole_snapshot(spark):
+    d = "/root/testdata/sf0.01"
+    snap = {(r.supplier_id, r.customer_id) for r in registry.queries()["snapshot_asof"](spark, d).collect()}
+    made = [(r.supplier_id, r.customer_id) for r in registry.queries()["placebo"](spark, d).filter("seed = 3").collect()]
+    assert len(set(made)) == len(made) == len(snap) and sorted(a for a, _ in made) == sorted(a for a, _ in snap)
+
+
 def test_registered_components_match_union_find(spark):
     d = "/root/testdata/sf0.001"
     edges = [(r.supplier_id, r.customer_id) for r in registry.queries()["snapshot_asof"](spark, d).collect()]
