@@ -84,7 +84,7 @@ QUERIES = {
     "interval_overlaps": lambda s, d: intervals.overlaps(frame(s, d, "aliases"), ["alias"], "valid_from", "valid_to", inclusive=False).select("entity_id", "alias", "valid_from", "valid_to"),
     "degree": lambda s, d: graph.degrees(_edges(s, d)),
     "node_roles": lambda s, d: graph.roles(_edges(s, d)).groupBy("role").agg(F.count("*").alias("nodes")),
-    "edge_age_buckets": lambda s, d: graph.age_buckets(graph.snapshot(_edges(s, d), _as_of(), collapse_pairs=False).filter("effective_start > '1997-12-01'"), _as_of()),
+    "edge_age_buckets": lambda s, d: graph.age_buckets(graph.snapshot(_edges(s, d), _as_of(), collapse_pairs=False), _as_of()),
     "coverage_summary": lambda s, d: graph.coverage_summary(_mentions(s, d), _edges(s, d)).withColumns({c: F.round(c, 9) for c in ("explicit_rate", "resolved_rate")}),
     "yearly_disclosures": lambda s, d: graph.yearly_disclosures(_mentions(s, d)).withColumns({c: F.round(c, 9) for c in ("explicit_rate", "resolved_rate")}),
     "source_documents": lambda s, d: graph.source_documents(_mentions(s, d).filter("source_document_id % 5 > 0"), _edges(s, d).filter("source_document_id % 7 > 0")),

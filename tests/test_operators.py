@@ -200,6 +200,15 @@ def test_registered_components_match_union_find(spark):
     assert edges and {r.node: r.component for r in registry.queries()["weak_components"](spark, d).collect()} == {k: find(k) for k in root}
 
 
+def test_age_buckets_cover_every_active_edge(spark):
+    d, now = "/root/testdata/sf0.001", TS(1998, 6, 30, 10)
+    age = [(now - r.effective_start) / dt.timedelta(1) for r in registry.queries()["edge_collapse"](spark, d).collect() if r.effective_start <= now < r.effective_end]
+    found = {r.bucket: r.edge_count for r in registry.queries()["edge_age_buckets"](spark, d).collect()}
+    assert sum(found.values()) == len(age) and found["366+"] == sum(a > 365 for a in age) > 0
+    few = spark.createDataFrame([("S1", "C1", TS(1998, 6, 1)), ("S2", "C1", TS(1997, 1, 1))], "supplier_id string, customer_id string, effective_start timestamp")
+    assert {r.bucket: r.edge_count for r in graph.age_buckets(few, F.lit(now)).collect()} == {"0-90": 1, "91-180": 0, "181-365": 0, "366+": 1}
+
+
 def test_quantile_weights(spark):
     signals = spark.createDataFrame([(D(2020, 1, 2), f"S{k:02d}", float(k)) for k in range(10)], "date date, security_id string, s double")
     found = {r.security_id: r.target_weight for r in portfolio.quantile_weights(signals, "s").collect()}
