@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import itertools
 import uuid
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +18,37 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, one under /tmp if all run on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(stored: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing is going to read it again."""
+    spark, path = stored.sparkSession, stored._stored_at
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,12 +109,15 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node that each end of an edge (u, v) can reach.
 
+    Rounds go on until nothing changes; with ``max_rounds``, a graph that needs more is an error.
+
     Alternating large-star and small-star rounds. Each round is a partially aggregated minimum
     and a join that adaptive execution may split, so a node with very many links needs no single
-    task. Every round is written to the shared folder; the driver sees two numbers a round.
+    task. Every round is written to the shared folder, in place of the one before; the driver
+    sees two numbers a round.
     Nodes without an edge between different nodes do not appear.
     """
     def tidy(df: DataFrame) -> DataFrame:
@@ -104,16 +128,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = materialize(tidy(edges), "edges")
     before = state(now)
-    for _ in range(max_rounds):
+    for done in itertools.count():
         if not before[0]:
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = tidy(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), "m").union(low.select("u", "m"))
-        now = materialize(tidy(small.toDF("u", "v")), "edges")
+        last, now = now, materialize(tidy(small.toDF("u", "v")), "edges")
+        remove(last)
         after = state(now)
         if after == before:
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.llm.common import pieces, read_table, shared_dir
+from asofgraph.llm.common import pieces, read_table, shared_path
 
 #: The field lines that the version blocks of the two ARC versions carry.
 ARC_FIELDS = {
@@ -254,7 +254,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = mark_revisits(convert_arc(pages_to_arc(read_table(spark, sf_dir, "pages"))))
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_warc(records, path)
     back = read_warc(spark, path)
     return back.withColumn("page_id", page_id(back)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
