@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """A model from at most ``labelled`` labels and about ``pool`` other documents, drawn by doc_id.
 
     Several labels of a document count by their mean, rounded up from a half; null labels and
-    labels without a document don't count. None if fewer than two classes are left.
+    labels without a document don't count. Of several rows of a doc_id one counts, so a doc_id with very
+    many rows brings no more to the driver than another. None if fewer than two classes are left.
     """
     mean = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
     chosen = mean.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(labelled)
@@ -175,9 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     share = min(1.0, pool / max(1, docs.count()))
     draw = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = prepared(docs).join(F.broadcast(chosen), "doc_id", "left").filter(F.col("quality").isNotNull() | (draw < share))
-    found = rows.select("doc_id", "quality", "slots", "text").mapInArrow(_view_rows, "doc_id long, quality double, slots array<int>, view binary").collect()
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id, bytes(r.view)))
-    named, other = [r for r in found if r.quality is not None][:2 * labelled], [r for r in found if r.quality is None][:2 * pool]
+    found = rows.select("doc_id", "quality", "slots", "text").mapInArrow(_view_rows, "doc_id long, quality double, slots array<int>, view binary")
+    found = found.groupBy("doc_id", "quality").agg(F.min(F.struct("view", "slots")).alias("first")).select("doc_id", "quality", "first.*").collect()
+    found.sort(key=lambda r: r.doc_id)
+    named, other = [r for r in found if r.quality is not None], [r for r in found if r.quality is None][:2 * pool]
     views = lambda rs: np.frombuffer(b"".join(bytes(r.view) for r in rs), np.float32).reshape(len(rs), TEXT_WIDTH)
     metas = lambda rs: meta_view(np.array([r.slots for r in rs], np.int64).reshape(len(rs), 3))
     y = np.array([r.quality for r in named])

@@ -14,6 +14,7 @@ in turn. All languages count together, as a text may mix them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +29,12 @@ from asofgraph.llm.shingles import text_bytes
 
 DIMENSIONS = 1 << 13
 ORDERS = (1, 2, 3)
-#: Bounds of what the fit gathers: texts over all languages, landmarks among them, languages (the most frequent).
+#: What the fit gathers: about so many texts over all languages, and landmarks among them. Of each language, however
+#: many there are, come at least LEAST_TEXTS texts and LEAST_LANDMARKS landmarks (of 1 KB a text).
 SAMPLE = 3000
 LANDMARKS = 160
-MOST_LANGUAGES = 200
+LEAST_TEXTS = 8
+LEAST_LANDMARKS = 2
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Scores below this mean that no language claims the text.
@@ -107,7 +110,7 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     turn = np.zeros(len(y), np.int64)
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, turn))[:LANDMARKS]
+    chosen = np.lexsort((y, turn))[:max(LANDMARKS, LEAST_LANDMARKS * len(names))]
     unit = rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1))[:, None].astype(np.float32)
     landmarks = np.ascontiguousarray(unit[chosen].T)
     spectrum = spectrum_of(rows)
@@ -129,7 +132,7 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         packed = np.packbits(presence(batch["text"]), axis=1)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "lang", "bits"])
+        yield pa.RecordBatch.from_arrays([batch["draw"], batch["lang"], pa.array([r.tobytes() for r in packed], pa.binary())], names=["draw", "lang", "bits"])
 
 
 def has_letters(text: pa.Array) -> np.ndarray:
@@ -143,22 +146,27 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of the rows that are not held out and have a language and a letter; None without such rows.
 
-    At most about ``sample`` rows, evenly over the languages, are gathered as bitmaps of
-    DIMENSIONS bits. Whether a row is drawn depends on its doc_id alone.
+    About ``sample`` rows, evenly over the languages and LEAST_TEXTS of each at least, are gathered as
+    bitmaps of DIMENSIONS bits. Whether a row is drawn depends on its doc_id and text; rows equal in
+    both and in language count once. Every language that a row has is learned.
     """
     small_batches(docs.sparkSession)
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in counts.collect()}
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("draw"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
-    quota = max(8, sample // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, quota / n))])
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(F.coalesce(draw < share[F.col("lang")], F.lit(False)) & F.col("text").rlike(r"\p{L}"))
-    found = drawn.mapInArrow(_spectra, "doc_id long, lang string, bits binary").collect()
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.lang, bytes(r.bits)))
-    found = found[:2 * sample]
+    quota = max(LEAST_TEXTS, sample // len(counts))
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * quota / n)) for lang, n in sorted(counts.items())], "lang string, share double")
+    drawn = rows.join(share, "lang").filter((F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.col("share")) & F.col("text").rlike(r"\p{L}"))
+    found = drawn.select("draw", "lang", "text").mapInArrow(_spectra, "draw long, lang string, bits binary").groupBy("draw", "lang").agg(F.first("bits").alias("bits")).collect()
+    found.sort(key=lambda r: (r.draw, r.lang))
+    taken: Counter[str] = Counter()
+    kept = []
+    for r in found:  # twice the quota was drawn, so that a language of few rows has some
+        taken[r.lang] += 1
+        if taken[r.lang] <= quota:
+            kept.append(r)
+    found = kept
     if not found:
         return None
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(len(found), -1), axis=1)
