@@ -495,3 +495,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, by a 64-bit hash of its text: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [hash(array_to_string(w, ' '))] ELSE [] END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n, g FROM s),
+e AS (SELECT doc_id, n, unnest(g) AS h FROM n),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)),
+k AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, k.v FROM r JOIN k ON r.v = k.u)
+SELECT doc_id, n AS n_shingles, (SELECT min(v) FROM r WHERE r.u = n.doc_id) AS component_id FROM n
+"""

@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.ORACLE,
+        "op5_ngram_join": ngram_join.ORACLE,
         "op7_chat_format": chat.ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_vector_dedup": vector_dedup.ORACLE,
