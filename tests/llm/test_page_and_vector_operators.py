@@ -144,6 +144,31 @@ def test_nearest_recall_scores_and_edges(spark):
     assert ann.nearest(frame.limit(0), frame).count() == 0
     few = ann.nearest(frame.filter("vec_id < 3"), frame.filter("vec_id = 0")).collect()
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
+    twice = ann.nearest(frame.filter("vec_id < 3").union(frame.filter("vec_id = 2")), frame.filter("vec_id = 0"), block=2).orderBy("rank").collect()
+    assert sorted(r.vec_id for r in twice) == [1, 2, 2]  # repeated rows are candidates each, the query's own never is
+
+
+def test_clustered_vectors_verify_few_and_skip_cells():
+    draw = np.random.default_rng(5)
+    centres = draw.standard_normal((300, 48))
+    x = centres[draw.integers(0, 300, 6000)] + 0.3 * draw.standard_normal((6000, 48))
+    index, unit, hit = ann.Index(x), x / np.sqrt((x * x).sum(1))[:, None], 0
+    for q in range(0, 6000, 100):
+        place, score = index.nearest(x[q], np.arange(6000) == q, 5)
+        plain = unit @ unit[q]
+        plain[q] = -9
+        hit += len(set(place.tolist()) & set(np.argsort(-plain, kind="stable")[:5].tolist()))
+        assert score == pytest.approx(plain[place], abs=1e-12)
+    assert hit >= 0.9 * 300 and index.verified < 0.1 * 60 * 6000
+    # what a cell's radius rules out holds nothing nearer than the score known
+    few = unit[:40]
+    owner, away = ann.angles(x, few).argmin(1), ann.angles(x, few).min(1)
+    for q in range(0, 6000, 500):
+        least = np.sort(unit @ unit[q])[-6]
+        for cell in range(40):
+            radius = away[owner == cell].max()
+            if ann.angles(x[q:q + 1], few)[0, cell] - radius > np.arccos(least) + ann.SLACK:
+                assert (unit[owner == cell] @ unit[q]).max() < least
 
 
 def test_vector_components_match_brute_force(spark, monkeypatch):
