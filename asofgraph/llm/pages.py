@@ -1,12 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines, one a block element. Lines of elements that say what they are
-(menus, footers, forms, scripts and so on) never count. The rest are aligned, by longest common
-subsequence, with the lines of the page of the same host whose URL path is nearest, and lines that both
-have are template: they go. Lines inside a marked article are the article by the page's own word,
-so alignment never deletes them: on a marked page markup alone decides. Pages that agree for the most
-part are copies, not pages of one template, and lose nothing to each other; the page on the other
-side is then asked.
+A page is cut into text lines, one a block element, menus and footers included. Its lines are aligned, by
+longest common subsequence, with those of the pages of the same host whose URL paths are nearest on
+either side. A line that the neighbours share is template and goes; where markup says that it is article text, that
+takes four neighbours. Alignment can't see template that no neighbour repeats, so markup is a prior for the other lines: those
+of elements that say what they are (nav, footer, aside, form and so on) go, and where an article
+is marked, so do lines outside it. Scripts, styles and titles make no lines.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -34,34 +34,30 @@ BLOCKS = frozenset(
 )
 CHROME = frozenset("head nav footer aside form button select menu dialog svg math object canvas audio video map datalist".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of a class or id that mark what isn't the article; ``header`` ones only outside it.
+#: Words that mark what isn't the article where a whole class or id is made of them.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended comment comments commentlist disqus respond reply replies widget toolbar pagination pager skip".split()
 )
-OUTSIDE_WORDS = frozenset("header masthead topbar".split())
-#: Copies share more than this of a page's characters; below it, shared lines are template.
-COPY_SHARE = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
+_NAME = re.compile(r"[a-z]+(?:[-_][a-z]+)*", re.IGNORECASE)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]")
 
 
 @dataclass
 class Line:
     text: str
-    article: bool
-    linked: int = 0  # characters inside links
+    chrome: bool
+    article: bool  # inside the page's one article
 
 
 @dataclass
 class _State:
-    open: list[tuple[str, bool, bool]] = field(default_factory=list)  # name, chrome, article
+    open: list[tuple[str, bool, int]] = field(default_factory=list)  # name, chrome, number of the marked element or 0
     chrome: int = 0
-    article: int = 0
-    link: int = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -77,38 +73,50 @@ def _is_chrome(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    words = {w.lower() for w in _WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-    return bool(words & CHROME_WORDS) or not inside and bool(words & OUTSIDE_WORDS)
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return any(_NAME.fullmatch(n) and all(w.lower() in CHROME_WORDS for w in _HUMP.split(n)) for n in names)
+
+
+def _article(marks: list[tuple[str, int]], size: dict[int, int]) -> int:
+    """The number of the one marked element that is the article: the article with most text, the earlier on a tie.
+
+    The main element around the only article counts with it, and one without articles alone. 0: none is marked.
+    """
+    articles = [k for k, (name, inside) in enumerate(marks, 1) if name == "article" and not (inside and marks[inside - 1][0] == "article")]
+    mains = [k for k, (name, _) in enumerate(marks, 1) if name == "main"]
+    best = max(articles or mains, key=lambda k: (size.get(k, 0), -k), default=0)
+    if len(articles) == 1 and (around := marks[best - 1][1]):
+        return around
+    return best
 
 
 def lines_of(page: str) -> list[Line]:
-    """Text lines in page order, references decoded, white space single; none of chrome elements."""
+    """Text lines in page order, references decoded, white space single."""
     state, out = _State(), []
     parts: list[str] = []
-    linked = 0
+    marks: list[tuple[str, int]] = []  # kind of each marked element and the number of the one around it
+    within: list[tuple[int, ...]] = []  # of each line
+
+    def around() -> tuple[int, ...]:
+        return tuple(x[2] for x in state.open if x[2])
 
     def flush() -> None:
-        nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Line(text, state.article > 0, linked))
+            out.append(Line(text, state.chrome > 0, False))
+            within.append(around())
         parts.clear()
-        linked = 0
 
     def close(to: int) -> None:
         while len(state.open) > to:
-            name, chrome, article = state.open.pop()
+            _, chrome, _ = state.open.pop()
+            if chrome and state.chrome == 1:
+                flush()
             state.chrome -= chrome
-            state.article -= article
-            state.link -= name == "a"
 
     def say(a: int, b: int) -> None:
-        nonlocal linked
-        if a < b and not state.chrome:
-            text = entities.unescape(page[a:b])
-            parts.append(text)
-            if state.link:
-                linked += len(text.strip())
+        if a < b:
+            parts.append(entities.unescape(page[a:b]))
 
     at, size = 0, len(page)
     while at < size:
@@ -147,29 +155,41 @@ def lines_of(page: str) -> list[Line]:
             stray = next((k for k, x in enumerate(state.open) if x[0] in ("nav", "head")), None)
             if stray is not None:  # never closed
                 close(stray)
-        chrome = _is_chrome(name, attributes, state.article > 0)
-        article = not chrome and (name in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody")
+        inside = around()
+        chrome = _is_chrome(name, attributes, bool(inside))
+        kind = "article" if name == "article" or attributes.get("itemprop") == "articleBody" else "main" if name == "main" or attributes.get("role") == "main" else ""
         if m[3].endswith("/") and name in ("svg", "math", "object", "canvas"):
             continue
-        state.open.append((name, chrome, article))
+        if kind and not chrome and not state.chrome:
+            marks.append((kind, inside[-1] if inside else 0))
+        else:
+            kind = ""
+        if chrome and not state.chrome:
+            flush()
+        state.open.append((name, chrome, len(marks) if kind else 0))
         state.chrome += chrome
-        state.article += article
-        state.link += name == "a"
     flush()
+    size: Counter[int] = Counter()
+    for line, marked in zip(out, within, strict=True):
+        if not line.chrome:
+            size.update(dict.fromkeys(marked, len(line.text)))
+    if root := _article(marks, size):
+        for line, marked in zip(out, within, strict=True):
+            line.article = not line.chrome and root in marked
     return out
 
 
-def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence, by increasing runs of matching places."""
+def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in ``a`` and ``b`` of a longest common subsequence, by increasing runs of matching places."""
     places: dict[int, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
-    last: list[tuple[int, tuple | None]] = []
+    last: list[tuple[int, int, tuple | None]] = []
     for i, x in enumerate(a):
         for j in places.get(x, ()):
             k = bisect_left(ends, j)
-            link = (i, last[k - 1] if k else None)
+            link = (i, j, last[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 last.append(link)
@@ -177,31 +197,52 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
                 ends[k], last[k] = j, link
     out, at = [], last[-1] if last else None
     while at is not None:
-        out.append(at[0])
-        at = at[1]
+        out.append(at[:2])
+        at = at[2]
     return out[::-1]
 
 
 def line_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    """64 bits, the lowest of them zero: an outline keeps there whether the line is article text."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63) & ~1
+
+
+def outline_of(lines: list[Line]) -> list[int]:
+    return [line_hash(x.text) | x.article for x in lines]
 
 
-def template_of(lines: list[Line], others: tuple[list[int] | None, ...]) -> set[int]:
-    """Places of the lines shared with the first of the other pages that isn't a copy; none if all are."""
-    own, size = [line_hash(x.text) for x in lines], sum(len(x.text) for x in lines)
-    for other in others:
-        shared = set(common_subsequence(own, other)) if other else set()
-        if other and sum(len(lines[k].text) for k in shared) <= COPY_SHARE * size:
-            return shared
-    return set()
+def template_of(own: list[int], near: list[list[int]], further: list[list[int]] = ()) -> set[int]:
+    """Places of the lines that the nearest pages, one on either side, share.
+
+    A page that has every line of this one, or none, tells nothing apart and isn't asked. That a line is article
+    text here is overruled only where there are two pages on either side and all show it outside
+    their articles: fewer may have the same sentence by chance.
+    """
+    shared: set[int] | None = None
+    plain = [x & ~1 for x in own]
+    for other in near:
+        found = {i for i, _ in common_subsequence(plain, [x & ~1 for x in other])}
+        if 0 < len(found) < len(own):
+            shared = found if shared is None else shared & found
+    shared = shared or set()
+    marked = {k for k in shared if own[k] & 1}
+    if marked:
+        others = [*near, *further] if len(near) == len(further) == 2 else [[]]
+        for other in others:
+            marked &= {i for i, j in common_subsequence(plain, [x & ~1 for x in other]) if not other[j] & 1}
+    return {k for k in shared if not own[k] & 1 or k in marked}
 
 
-def main_text(lines: list[Line], *others: list[int] | None) -> str:
-    """The marked article's lines; without one, those that aren't template by the other pages, nearest first."""
-    if any(x.article for x in lines):
-        return "\n".join(x.text for x in lines if x.article)
-    shared = template_of(lines, others)
-    return "\n".join(x.text for k, x in enumerate(lines) if k not in shared and x.linked < 0.8 * len(x.text))
+def candidates(lines: list[Line]) -> list[int]:
+    """Places of the lines that markup leaves: none of chrome and, where an article is marked, those inside it."""
+    marked = any(x.article for x in lines)
+    return [k for k, x in enumerate(lines) if not x.chrome and (x.article or not marked)]
+
+
+def main_text(lines: list[Line], *others: list[int]) -> str:
+    """The lines that markup leaves, without what is template by the other pages, the two nearest first."""
+    shared = template_of(outline_of(lines), list(others[:2]), list(others[2:]))
+    return "\n".join(lines[k].text for k in candidates(lines) if k not in shared)
 
 
 def url_key(url: str | None) -> tuple[str | None, str]:
@@ -216,82 +257,77 @@ def url_key(url: str | None) -> tuple[str | None, str]:
     return host, found.path + (f"?{found.query}" if found.query else "")
 
 
-def nearest_first(path: str, before: tuple | None, after: tuple | None) -> list[tuple]:
-    """The (path, lines) that are there, the longer common beginning first; the earlier on a tie."""
-    both = [x for x in (before, after) if x is not None]
-    alike = lambda x: next((k for k, (p, q) in enumerate(zip(path, x[0], strict=False)) if p != q), min(len(path), len(x[0])))
-    return sorted(both, key=alike, reverse=True)
-
+_PARSED = "host string, path string, page_id long, url string, outline array<long>, places array<int>, lines binary"
 
-_OUTLINE = "key long, host string, path string, page_id long, outline array<long>"
 
-
-def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The outline of all lines, and the text of the candidates, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3)
     for batch in pieces(batches, "html"):
         keys = [url_key(u) for u in batch["url"].to_pylist()]
-        found = [[line_hash(x.text) for x in lines_of(h or "")] if k[0] else [] for k, h in zip(keys, batch["html"].to_pylist(), strict=True)]
+        found = [lines_of(h or "") for h in batch["html"].to_pylist()]
+        places = [candidates(lines) for lines in found]
+        texts = [squeeze.compress("\n".join(lines[k].text for k in at).encode()) for lines, at in zip(found, places, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch["key"], pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), batch["page_id"], pa.array(found, pa.list_(pa.int64()))],
-            names=["key", "host", "path", "page_id", "outline"])
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), batch["page_id"], batch["url"],
+             pa.array([outline_of(lines) for lines in found], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.binary())],
+            names=["host", "path", "page_id", "url", "outline", "places", "lines"])
 
 
 _TEXT = "page_id long, url string, text string, n_chars long"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in pieces(batches, "html"):
-        html = [squeeze.compress((h or "").encode()) for h in batch["html"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["key"], batch["page_id"], batch["url"], pa.array(html, pa.binary())], names=["key", "page_id", "url", "html"])
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loosen = zstandard.ZstdDecompressor()
-    for batch in pieces(batches, "html", 1 << 20):
-        columns = [batch[c].to_pylist() for c in ("html", "path", "before", "after")]
+    for batch in pieces(batches, "lines", 1 << 18):
+        columns = [batch[c].to_pylist() for c in ("lines", "outline", "places", "near", "further")]
         texts = []
-        for packed, path, before, after in zip(*columns, strict=True):
-            page = loosen.decompress(packed).decode()
-            near = nearest_first(path or "", *(x and (x["path"], x["outline"]) for x in (before, after)))
-            texts.append(main_text(lines_of(page), *(outline for _, outline in near)))
+        for packed, outline, places, near, further in zip(*columns, strict=True):
+            shared = template_of(outline, *([x for x in others or () if x is not None] for others in (near, further)))
+            texts.append("\n".join(x for k, x in zip(places, loosen.decompress(packed).decode().split("\n"), strict=False) if k not in shared))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def neighbours(outlines: DataFrame) -> DataFrame:
-    """key, path, before, after: the pages next to each in order of (host, path), null at the end of a host.
+    """For rows of key, host, path, page_id and outline: key, near, further, arrays of outlines.
 
-    Rows are dealt by ranges of that order, so a host with a third of all pages spreads over many
-    tasks; the first and last row of each range see each other through a table of two rows a range.
+    near are the pages next to each on either side in order of (host, path), further those behind them; null where
+    the host ends. Rows are dealt by ranges of that order, so a host with a third of all pages spreads over many
+    tasks; ranges see the two rows at either end of the next through a table of four rows a range.
     """
     order = ["host", "path", "page_id", "key"]
     count = int(outlines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = outlines.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    placed = materialize(dealt.withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "placed")
-    page = F.struct("host", "path", "outline")
+    placed = materialize(dealt.select("key", F.struct("host", "outline").alias("page"), F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place")), "placed")
     inside = Window.partitionBy("range").orderBy("place")
-    rows = placed.withColumn("page", page).withColumn("before", F.lag("page").over(inside)).withColumn("after", F.lead("page").over(inside))
-    ends = placed.groupBy("range").agg(F.min_by(page, "place").alias("first"), F.max_by(page, "place").alias("last"))
+    rows = placed.withColumns({f"{name}{k}": move("page", k).over(inside) for name, move in (("b", F.lag), ("a", F.lead)) for k in (1, 2)})
+    edge = lambda end, other: F.max(F.when(F.col(f"{end}1").isNull(), F.struct("page", F.col(f"{other}1").alias("next"))))
+    ends = rows.groupBy("range").agg(edge("b", "a").alias("first"), edge("a", "b").alias("last"))
     whole = Window.orderBy("range")
     ends = ends.select("range", F.lag("last").over(whole).alias("left"), F.lead("first").over(whole).alias("right"))
-    rows = rows.join(F.broadcast(ends), "range").select("key", "host", "path", F.coalesce("before", "left").alias("b"), F.coalesce("after", "right").alias("a"))
-    same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.struct(f"{c}.path", f"{c}.outline"))
-    return rows.select("key", "path", same("b").alias("before"), same("a").alias("after"))
+    rows = rows.join(F.broadcast(ends), "range")
+    same = lambda page: F.when(page.host == F.col("page.host"), page.outline)
+    near = F.array(*(same(F.coalesce(f"{n}1", f"{edge}.page")) for n, edge in (("b", "left"), ("a", "right"))))
+    further = F.array(*(same(F.coalesce(F.col(f"{n}2"), F.when(F.col(f"{n}1").isNotNull(), F.col(f"{edge}.page")).otherwise(F.col(f"{edge}.next")))) for n, edge in (("b", "left"), ("a", "right"))))
+    return rows.select("key", near.alias("near"), further.alias("further"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
-    Null and empty html give an empty text. A page without a host, or alone on its host, is not
-    compared. Equal rows are one page when neighbours are sought and a result each. A page without
-    a marked article keeps all lines but chrome, shared lines and lines that are mostly links.
-    Other columns are ignored. Ties of nearness go to the page before.
+    Null and empty html give an empty text. Pages of a host with the same lines are one page when neighbours
+    are sought, at the first of their paths, so a neighbour is never a copy; each gets its own result. A
+    page without a host, or alone on its host, is not compared. Of two neighbours both have to share a line for it to
+    go, but one that has all lines of the page or none has no say. Pages of the same path are ordered by
+    page_id. Repeated rows give a result each. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
-    outlines = materialize(rows.mapInArrow(_outlines, _OUTLINE), "outlines").dropDuplicates(["key"])
-    near = neighbours(outlines.filter("host IS NOT NULL"))
-    packed = rows.mapInArrow(_packed, "key long, page_id long, url string, html binary")  # texts cross the network once, small
-    return packed.join(near, "key", "left").select("page_id", "url", "html", "path", "before", "after").mapInArrow(_texts, _TEXT)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parsed, _PARSED)
+    key = F.when(F.col("host").isNotNull(), F.xxhash64("host", "outline")).otherwise(F.xxhash64("page_id", "url"))
+    rows = materialize(rows.withColumn("key", key), "parsed")  # every page is parsed once
+    first = rows.filter("host IS NOT NULL").groupBy("key").agg(F.min(F.struct("path", "page_id", "host", "outline")).alias("page")).select("key", "page.*")
+    near = neighbours(first)
+    return rows.join(near, "key", "left").select("page_id", "url", "lines", "outline", "places", "near", "further").mapInArrow(_texts, _TEXT)
 
 
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
