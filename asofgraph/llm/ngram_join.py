@@ -3,8 +3,9 @@
 Every text is a set of 64-bit shingles in one global order. Sets are joined in five steps, and no
 step emits pairs of documents or gathers an unbounded group:
 
-1. ``_profile`` reads all texts once: size and digest of each set, and the shingles frequent
-   within a task. Equal sets are one class from here on, so exact copies cost nothing more.
+1. ``_profile`` reads all texts once: size and digest of each set, the shingles frequent
+   within a task, and a sample of all, which finds those that are frequent over all tasks only. Equal
+   sets are one class from here on, so exact copies cost nothing more.
 2. Frequent shingles go last in the order. It is a hint of bounded size: any order gives
    the same links, this one keeps shared passages out of the prefixes.
 3. ``_prefixes`` reads the texts again. Two sets of similarity t or more share a shingle among the
@@ -15,11 +16,13 @@ step emits pairs of documents or gathers an unbounded group:
    of all groups with the same members. ``_clusters`` compares the members' histograms of hash
    ranges: histograms that differ by more than two linked sets may differ rule a pair out.
    Components of what is left are the clusters; all links lie inside a cluster.
-5. ``_join_clusters`` gets the text of each clustered class once (large clusters: once for each
-   pair of its blocks), stores the sets in a prefix tree and walks it once for each set, sharing
-   partial overlaps between sets with a common beginning and pruning subtrees by what can still
-   be added. Sets in the cluster's largest component needn't walk. It emits the links that
-   connected something.
+5. ``_join_clusters`` gets the text of each clustered class once, stores the sets in a prefix tree
+   and walks it once for each set, sharing partial overlaps between sets with a common beginning and
+   pruning subtrees by what can still be added. Sets in the largest component needn't walk. It emits
+   the links that connected something. Large clusters are cut into blocks, and each block sees
+   some probes of the whole cluster as well, which connects nearly all of it. The sets that are then outside the
+   cluster's largest component walk the trees of all its blocks, so no pair of different components
+   goes uncompared.
 
 Components of the links, then classes, then documents follow by joins.
 """
@@ -38,13 +41,19 @@ from asofgraph.llm.shingles import shingle_sets
 
 WIDTH = 5
 PERCENT = 80
-#: At most so many frequent shingles are told to all tasks (16 bytes each); order only, not results.
+#: At most so many frequent shingles are told to all tasks (16 bytes each); order and salt only, not results.
 HOT_LIMIT = 1 << 16
 HOT_IN_TASK = 4
 HOT_DOCS = 16
+#: One of so many pairs of a shingle and a class is counted over all tasks; so often it has to turn up to count as frequent.
+SAMPLED = 256
+HOT_IN_SAMPLE = 4
 #: Members of a block of a large group, and shingles of all of them together.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
+#: Members of a block of a large cluster, and probes of the cluster that each of them sees.
+CLUSTER_BLOCK = 256
+PROBES = 32
 _U = np.uint64
 
 
@@ -114,7 +123,7 @@ def may_link(n: np.ndarray, marks: list[bytes], percent: int = PERCENT) -> tuple
     return np.concatenate(left), np.concatenate(right)
 
 
-_PROFILE = "doc_id long, n long, digest long, token long, docs long, marks binary"
+_PROFILE = "doc_id long, n long, digest long, token long, docs long, drawn long, marks binary"
 
 
 def _profile(width: int):
@@ -137,9 +146,12 @@ def _profile(width: int):
             hashes, at = shingle_sets(batch["text"], width)
             digest, n = digests(hashes, at), np.diff(at)
             none = np.full(len(n), None)
-            yield _rows(doc_id=batch["doc_id"].cast(pa.int64()), n=n, digest=_signed(digest), token=pa.array(none, pa.int64()), docs=pa.array(none, pa.int64()), marks=pa.array(histograms(hashes, at), pa.binary()))
+            yield _rows(doc_id=batch["doc_id"].cast(pa.int64()), n=n, digest=_signed(digest), token=pa.array(none, pa.int64()), docs=pa.array(none, pa.int64()), drawn=pa.array(none, pa.int64()), marks=pa.array(histograms(hashes, at), pa.binary()))
             new = np.array([not (d in met or met.add(d)) for d in digest.tolist()], bool)
             seen.append((fresh := hashes[np.repeat(new, n)], np.ones(len(fresh), np.int64)))
+            drawn = fresh[splitmix(fresh ^ np.repeat(digest[new], n[new])) % _U(SAMPLED) == 0]
+            if len(drawn):
+                yield hints(*np.unique(drawn, return_counts=True), sampled=True)
             waiting += len(fresh)
             if waiting > 1 << 21:
                 fold()
@@ -149,11 +161,17 @@ def _profile(width: int):
         token, total = counts
         often = total >= HOT_IN_TASK
         if often.any():
-            none = pa.array(np.full(int(often.sum()), None), pa.int64())
-            yield _rows(doc_id=none, n=none, digest=none, token=_signed(token[often]), docs=total[often], marks=pa.nulls(len(none), pa.binary()))
+            yield hints(token[often], total[often], sampled=False)
     return run
 
 
+def hints(token: np.ndarray, docs: np.ndarray, sampled: bool) -> pa.RecordBatch:
+    """Rows of ``_profile`` that say in how many sets (of the sample) a shingle is, in place of a text's figures."""
+    none = pa.nulls(len(token), pa.int64())
+    counts = (none, pa.array(docs)) if sampled else (pa.array(docs), none)
+    return _rows(doc_id=none, n=none, digest=none, token=_signed(token), docs=counts[0], drawn=counts[1], marks=pa.nulls(len(token), pa.binary()))
+
+
 _PACKED = "bucket long, token binary, digest binary, n binary, place binary"
 
 
@@ -216,13 +234,27 @@ def salted(token: np.ndarray, row: np.ndarray, place: np.ndarray, blocks: np.nda
 
 
 def has_partner(n: np.ndarray, place: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which members have another one of fitting size and position, in slices of bounded size."""
-    found, step = np.zeros(len(n), bool), max(1, (1 << 21) // max(len(n), 1))
-    for a in range(0, len(n), step):
-        s = slice(a, a + step)
-        fits = fit(n[s, None], place[s, None], n[None], place[None], percent)
-        fits[np.arange(fits.shape[0]), np.arange(a, a + fits.shape[0])] = False
-        found[s] = fits.any(1)
+    """Which members have another one of fitting size and position: those that ``fit`` in both directions.
+
+    For a member of size n at place p that is one with size m at place q where percent * m is at most
+    100 n - (100 + percent) p, and 100 m - (100 + percent) q is at least percent * n. In order of m, a running maximum of
+    the latter tells; a second one leaves the member itself out.
+    """
+    order = np.argsort(n, kind="stable")
+    m, reach = percent * n[order], 100 * n[order] - (100 + percent) * place[order]
+    upto = np.searchsorted(m, reach, "right")  # members small enough for each
+    best, floor = np.maximum.accumulate(reach), np.iinfo(np.int64).min
+    where = np.zeros(len(n), np.int64)
+    fresh = np.concatenate(([True], best[1:] > best[:-1]))
+    where[fresh] = np.flatnonzero(fresh)
+    where = np.maximum.accumulate(where)
+    second = np.full(len(n), floor)
+    if len(n) > 1:
+        second[1:] = np.maximum.accumulate(np.where(fresh[1:], best[:-1], reach[1:]))
+    top = np.where(upto > 0, best[upto - 1], floor)
+    own = (upto > 0) & (where[upto - 1] == np.arange(len(n)))
+    found = np.zeros(len(n), bool)
+    found[order] = np.where(own, second[upto - 1], top) >= m
     return found
 
 
@@ -375,15 +407,15 @@ class PrefixTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def tree_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect the sets as all their links do.
+def tree_links(sets: list[np.ndarray], percent: int = PERCENT, walkers: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets as all their links do (or as all links of the walkers do, if given).
 
     A set that is in the largest component needn't walk the tree: every set outside it does, so
-    no two sets of different components go uncompared.
+    no two sets of different components go uncompared. Given walkers all walk.
     """
     tree, root, out = PrefixTree(sets), np.arange(len(sets)), []
-    walked = np.zeros(len(sets), bool)
-    largest = root[0]
+    walked = np.zeros(len(sets), bool) if walkers is None else ~walkers
+    largest = root[0] if walkers is None else -1
     while len(left := np.flatnonzero(~walked & (root != largest))):
         i = int(left[0])
         walked[i] = True
@@ -392,7 +424,8 @@ def tree_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
             if r != root[i]:
                 out.append((i, int(near[root[near] == r][0])))
                 root[root == r] = root[i]
-        largest = np.bincount(root).argmax()
+        if walkers is None:
+            largest = np.bincount(root).argmax()
     return out
 
 
@@ -434,12 +467,13 @@ def _clusters(percent: int):
 def _join_clusters(width: int, percent: int):
     def take(batch: pa.RecordBatch) -> Iterator[tuple]:
         hashes, at = shingle_sets(batch["text"], width)
-        for k, doc in enumerate(batch["rep"].to_pylist()):
-            yield doc, hashes[at[k]:at[k + 1]].copy()
+        for k, (doc, walk) in enumerate(zip(batch["rep"].to_pylist(), batch["walk"].to_pylist(), strict=True)):
+            yield doc, walk, hashes[at[k]:at[k + 1]].copy()
 
     def act(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, sets = zip(*rows, strict=True)
-        if len(sets) > 1 and (found := tree_links(list(sets), percent)):
+        ids, walk, sets = zip(*rows, strict=True)
+        walkers = None if walk[0] is None else np.array(walk)
+        if len(sets) > 1 and (found := tree_links(list(sets), percent, walkers)):
             a, b = np.array(found).T
             yield _rows(u=np.array(ids)[a], v=np.array(ids)[b])
 
@@ -447,6 +481,39 @@ def _join_clusters(width: int, percent: int):
     return lambda batches: walk(pieces(batches, "text"))
 
 
+def _blocks() -> F.Column:
+    return F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _cluster_components(clusters: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the links inside clusters, given as rows of node, component and set size n."""
+    def links(placed: DataFrame) -> DataFrame:
+        wanted = placed.join(texts, "rep")
+        return wanted.repartition("part").sortWithinPartitions("part").mapInArrow(_join_clusters(width, percent), _LINKS)
+
+    rows = clusters.join(clusters.groupBy("component").agg(_blocks().alias("blocks"), F.count("*").alias("members"), F.sum("n").alias("shingles")), "component")
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks")
+    draw = F.pmod(F.xxhash64(F.lit(23), "node"), F.lit(1 << 30)) / float(1 << 30)
+    probe = (F.col("blocks") > 1) & (draw < F.least(PROBES / F.col("members"), BLOCK_SHINGLES / (4 * F.col("shingles"))))
+    seen = F.explode(F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
+    first = rows.withColumn("at", seen).select(F.col("node").alias("rep"), F.lit(None).cast("boolean").alias("walk"), F.xxhash64("component", "at").alias("part"))
+    parts = components(links(first))
+    large = rows.filter("blocks > 1")
+    if not large.limit(1).count():
+        return parts
+    parts = materialize(parts, "parts")
+    large = large.join(parts.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    top = large.groupBy("component", "label").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "label")).alias("top"))
+    rest = materialize(large.join(top, "component").filter(F.col("label") != F.col("top.label")).select("component", "node", "n", "blocks"), "rest")
+    asked = rest.groupBy("component").agg(_blocks().alias("rests"))
+    part = F.xxhash64("component", "rest", "block").alias("part")
+    walkers = rest.join(asked, "component").withColumn("rest", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("rests")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = large.join(asked, "component").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    both = walkers.select(F.col("node").alias("rep"), F.lit(True).alias("walk"), part).union(others.select(F.col("node").alias("rep"), F.lit(False).alias("walk"), part))
+    both = both.groupBy("rep", "part").agg(F.max("walk").alias("walk"))
+    return components(parts.toDF("u", "v").union(links(both)))
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id long, text).
 
@@ -461,7 +528,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = materialize(texts.mapInArrow(_profile(width), _PROFILE), "profile")
-    found = profile.filter("docs IS NOT NULL").groupBy("token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") > HOT_DOCS)
+    often = F.greatest(F.coalesce(F.sum("docs"), F.lit(0)), F.when(F.sum("drawn") >= HOT_IN_SAMPLE, SAMPLED * F.sum("drawn")).otherwise(0))
+    found = profile.filter("token IS NOT NULL").groupBy("token").agg(often.alias("docs")).filter(F.col("docs") > HOT_DOCS)
     top = found.orderBy(F.desc("docs"), "token").limit(HOT_LIMIT).collect()
     hot = np.array([r.token for r in top], np.int64).view(np.uint64)
     order = np.argsort(hot)
@@ -476,17 +544,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     near = members.repartition("signature").sortWithinPartitions("signature").mapInArrow(_clusters(percent), _LINKS)
     clusters = materialize(components(near).join(classes.select(F.col("rep").alias("node"), "n"), "node"), "clusters")
 
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    counts = clusters.groupBy("component").agg(blocks.alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
-    placed = clusters.join(counts, "component").withColumn("block", block).withColumn("other", F.explode(pairs))
-    low = F.when(F.col("blocks") <= 2, 0).otherwise(F.least("block", "other"))
-    high = F.when(F.col("blocks") <= 2, 0).otherwise(F.greatest("block", "other"))
-    placed = placed.select(F.col("node").alias("rep"), F.xxhash64("component", low, high).alias("part"))
-    wanted = placed.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    links = wanted.repartition("part").sortWithinPartitions("part").mapInArrow(_join_clusters(width, percent), _LINKS)
-    parts = components(links)
+    parts = _cluster_components(clusters, texts.withColumnRenamed("doc_id", "rep"), width, percent)
     joined = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return sets.join(joined, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")

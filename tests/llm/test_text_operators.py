@@ -92,6 +92,39 @@ def test_large_groups_are_split_and_salted(spark, monkeypatch):
     assert all(any({a, b} <= m for m in met.values()) for a in range(9) for b in range(9))
 
 
+def test_partners_are_those_that_fit():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        n = draw.integers(1, 40, draw.integers(1, 30))
+        place = np.array([draw.integers(0, k) for k in n])
+        plain = [any(i != j and ngram_join.fit(n[i], place[i], n[j], place[j], 80) for j in range(len(n))) for i in range(len(n))]
+        assert ngram_join.has_partner(n, place).tolist() == plain
+
+
+@pytest.mark.parametrize("probes", [0, 2])
+def test_large_clusters_are_cut_into_blocks_and_lose_no_link(spark, monkeypatch, probes):
+    monkeypatch.setattr(ngram_join, "CLUSTER_BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "PROBES", probes)
+    draw, rows = random.Random(6), []
+    for g in range(3):  # chains: each text is the one before with some words changed, so ends don't link
+        words = [f"g{g}w{k}" for k in range(150)]
+        for k in range(50):
+            for _ in range(3):
+                words[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    draw.shuffle(rows)
+    found = {tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain_components(rows)
+
+
+def test_frequent_over_all_tasks_is_found(spark):
+    """A shingle in one set a task is in no task's own list, but in the sample of all."""
+    rows = [(i, f"one two three four five {' '.join(f'w{i}x{k}' for k in range(12))}") for i in range(6000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+    hints = texts.mapInArrow(ngram_join._profile(5), ngram_join._PROFILE).filter("drawn IS NOT NULL").groupBy("token").agg(F.sum("drawn").alias("n"))
+    assert hints.agg(F.max("n")).first()[0] >= ngram_join.HOT_IN_SAMPLE and hints.filter("n > 1").count() <= 3
+
+
 def test_histograms_never_exclude_linked_sets():
     draw = np.random.default_rng(5)
     for _ in range(40):
@@ -109,6 +142,20 @@ def test_components_match_union_find(spark):
     roots = common.local_roots(400, *np.array(edges).T)
     assert found == {n: int(roots[n]) for n in {x for e in edges if e[0] != e[1] for x in e}}
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long")
+    assert {r.component for r in common.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        common.components(chain, max_rounds=2)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Context:
+        master, getConf = "spark://somewhere", lambda self: {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
 
 
 def digests(turns):
