@@ -2,12 +2,15 @@
 
 A vector is described by its ``NEAREST`` pivots in order of nearness. Inverted lists, one for each
 label and pivot, bring vectors together; a pair is looked at in the list of the first pivot that
-both have, if they share ``SHARED`` pivots or more, and verified by exact cosine.
+both have, if they share ``SHARED`` pivots or more, and verified by exact cosine. The number of pivots
+grows with the vectors; where it ends to grow, there is a list for each pair of pivots instead, which are
+as many as its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,9 @@ from asofgraph.llm.vectors import matrix, norms, usable
 
 PIVOTS = 64
 #: One pivot for so many distinct vectors, from PIVOTS to MOST_PIVOTS of them; the sample that fits the index.
+#: Beyond MOST_PIVOTS times as many vectors, lists are of pairs of pivots.
 VECTORS_A_PIVOT = 4000
-MOST_PIVOTS = 1024
+MOST_PIVOTS = 16384
 NEAREST = 8
 SHARED = 2
 LEAST_COSINE = 0.93
@@ -28,45 +32,69 @@ LEAST_COSINE = 0.93
 BLOCK = 4096
 
 
-def _describe(pivots: np.ndarray, nearest: int):
-    """Rows of one list each: the vector goes into the lists of its nearest pivots of its dimension."""
+def _describe(pivots: np.ndarray, nearest: int, together: int):
+    """Rows of one list each: the vector goes into the lists of its nearest pivots of its dimension, or of all pairs of them."""
+    combined = np.array(list(combinations(range(nearest), together)), np.int64).reshape(-1, together)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = np.diff(np.asarray(batch["embedding"].offsets))
             for dim in np.unique(lengths):
-                part = batch.filter(pa.array(lengths == dim))
-                x = matrix(part["embedding"])
-                if dim == pivots.shape[1]:
-                    near = -(x @ pivots.T) / norms(x)[:, None]
-                    chosen = np.argsort(near, axis=1, kind="stable")[:, :nearest]
-                else:  # no pivot has this dimension: one list of its own
-                    chosen = np.full((len(x), 1), -int(dim))
-                width = chosen.shape[1]
-                row = pa.array(np.repeat(np.arange(len(x)), width))
-                order = pa.FixedSizeListArray.from_arrays(pa.array(chosen.ravel().astype(np.int32)), width).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part[c].take(row) for c in ("label", "rep", "n", "embedding")] + [order.take(row), pa.array(chosen.ravel().astype(np.int32))],
-                    names=["label", "rep", "n", "embedding", "pivots", "pivot"],
-                )
+                some = batch.filter(pa.array(lengths == dim))
+                for a in range(0, some.num_rows, 512):
+                    part = some.slice(a, 512)
+                    x = matrix(part["embedding"])
+                    if dim == pivots.shape[1]:
+                        near = -(x @ pivots.T) / norms(x)[:, None]
+                        chosen = np.argpartition(near, nearest - 1, axis=1)[:, :nearest] if nearest < len(pivots) else np.tile(np.arange(nearest), (len(x), 1))
+                        chosen = np.take_along_axis(chosen, np.argsort(np.take_along_axis(near, chosen, 1), axis=1, kind="stable"), 1)
+                        lists = np.sort(chosen, 1)[:, combined]  # vectors x lists x pivots of a list
+                        key = (lists * len(pivots) ** np.arange(together)[::-1]).sum(2)
+                    else:  # no pivot has this dimension: one list of its own
+                        chosen = key = np.full((len(x), 1), -int(dim))
+                    row = pa.array(np.repeat(np.arange(len(x)), key.shape[1]))
+                    order = pa.FixedSizeListArray.from_arrays(pa.array(chosen.ravel().astype(np.int32)), chosen.shape[1]).cast(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part[c].take(row) for c in ("label", "rep", "n", "embedding")] + [order.take(row), pa.array(key.ravel().astype(np.int64))],
+                        names=["label", "rep", "n", "embedding", "pivots", "list"],
+                    )
     return run
 
 
+def shared_pivots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots each row of ``a`` has in common with each row of ``b``."""
+    most = int(max(a.max(), b.max())) + 1
+    if most <= 512:
+        has = [np.zeros((len(x), most), np.float32) for x in (a, b)]
+        for h, x in zip(has, (a, b), strict=True):
+            np.put_along_axis(h, x, 1, 1)
+        return has[0] @ has[1].T
+    out = np.zeros((len(a), len(b)), np.int8)
+    for column in a.T:
+        for other in b.T:
+            out += column[:, None] == other[None]
+    return out
+
+
+def first_shared(a: np.ndarray, b: np.ndarray, together: int, pivots: int) -> np.ndarray:
+    """The list of the first pivots that the rows of ``a`` and ``b``, pair by pair, have in common."""
+    both = np.sort(np.where((a[:, :, None] == b[:, None, :]).any(2), a, pivots), 1)[:, :together].astype(np.int64)
+    return (both * pivots ** np.arange(together)[::-1]).sum(1)
+
+
 _LINKED = "rep long, links long, other long"
 
 
-def _verify(least: float, shared: int):
+def _verify(least: float, shared: int, together: int, pivots: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        pivot, low, high = (k.as_py() for k in key[1:])
+        own_list, low, high = (k.as_py() for k in key[1:])
         table = table.sort_by("rep")
         rep, n, block = (table[c].to_numpy() for c in ("rep", "n", "block"))
         x = matrix(table["embedding"])
         unit = x / norms(x)[:, None]
         orders = np.array(table["pivots"].to_pylist())
-        has = np.zeros((len(rep), max(int(orders.max()), 0) + 1), np.float32)
-        if pivot >= 0:
-            np.put_along_axis(has, orders, 1, 1)
         root, links = np.arange(len(rep)), np.zeros(len(rep), np.int64)
         right = np.flatnonzero(block == high)
         left = right if low == high else np.flatnonzero(block == low)
@@ -78,13 +106,15 @@ def _verify(least: float, shared: int):
             for i, j in zip(*np.nonzero(near), strict=True):  # at the border, by the plain sum
                 p, q = x[own[i]], x[right[j]]
                 good[i, j] = (p * q).sum() / (np.sqrt((p * p).sum()) * np.sqrt((q * q).sum())) >= least
-            if pivot >= 0:
-                good &= has[own] @ has[right].T >= shared
-                good &= has[own, :pivot] @ has[right, :pivot].T == 0
+            if own_list >= 0 and good.any():
+                good &= shared_pivots(orders[own], orders[right]) >= shared
             if low == high:
                 good &= own[:, None] < right[None]
             i, j = np.nonzero(good)
             i, j = own[i], right[j]
+            if own_list >= 0 and len(i):
+                here = first_shared(orders[i], orders[j], together, pivots) == own_list
+                i, j = i[here], j[here]
             links += np.bincount(i, n[j], len(rep)).astype(np.int64) + np.bincount(j, n[i], len(rep)).astype(np.int64)
             root = local_roots(len(rep), np.concatenate((np.arange(len(rep)), i)), np.concatenate((root, j)))
         some = links > 0
@@ -116,14 +146,15 @@ def vector_components(vectors: DataFrame, least: float = LEAST_COSINE, nearest:
     pivots = np.array([r.embedding for r in sample if len(r.embedding) == dim], np.float64).reshape(-1, max(dim, 1))
     pivots /= norms(pivots)[:, None]
     shared, nearest = min(shared, max(1, len(pivots))), min(nearest, max(1, len(pivots)))
-    schema = "label long, rep long, n long, embedding array<float>, pivots array<int>, pivot int"
-    lists = classes.select("label", "rep", "n", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_describe(pivots, nearest), schema)
-    counts = lists.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    split = lists.join(counts, ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    together = 2 if total > MOST_PIVOTS * VECTORS_A_PIVOT and shared > 1 else 1
+    schema = "label long, rep long, n long, embedding array<float>, pivots array<int>, list long"
+    lists = classes.select("label", "rep", "n", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_describe(pivots, nearest, together), schema)
+    counts = lists.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    split = lists.join(counts, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = split.withColumn("with", other).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    dealt = dealt.select("label", "pivot", "low", "high", "block", "rep", "n", "embedding", "pivots")
-    linked = materialize(dealt.groupBy("label", "pivot", "low", "high").applyInArrow(_verify(least, shared), _LINKED), "linked")
+    dealt = dealt.select("label", "list", "low", "high", "block", "rep", "n", "embedding", "pivots")
+    linked = materialize(dealt.groupBy("label", "list", "low", "high").applyInArrow(_verify(least, shared, together, max(1, len(pivots))), _LINKED), "linked")
     parts = components(linked.select(F.col("rep").alias("u"), F.col("other").alias("v")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("a", "b", "rep", "n").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")

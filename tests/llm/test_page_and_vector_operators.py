@@ -242,8 +242,12 @@ def test_clustered_vectors_verify_few_and_skip_cells():
                 assert (unit[owner == cell] @ unit[q]).max() < least
 
 
-def test_vector_components_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("pairs_of_pivots", [False, True])
+def test_vector_components_match_brute_force(spark, monkeypatch, pairs_of_pivots):
     monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    if pairs_of_pivots:
+        monkeypatch.setattr(vector_dedup, "MOST_PIVOTS", 100)
+        monkeypatch.setattr(vector_dedup, "VECTORS_A_PIVOT", 4)
     x = vectors(2)
     rows = [(int(k), v.tolist(), int(k) % 2 if k % 11 else None) for k, v in enumerate(x)] + [(i, v, 1) for i, v in BAD] + [(9100, [1.0, 0.0], 1), (9101, [2.0, 0.01], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"n": F.lit(1), "rep": F.lit(2), "a": F.lit(3)})
@@ -266,3 +270,30 @@ def test_vector_components_match_brute_force(spark, monkeypatch):
     assert sum(v[0] for v in found.values()) >= 0.99 * sum(links.values()) and set(found) == set(plain)
     assert np.mean([found[k] == plain[k] for k in plain]) >= 0.99
     assert vector_dedup.vector_components(frame.limit(0)).count() == 0
+
+
+def test_planted_pairs_are_found(spark):
+    """Pairs at cosines just above the threshold among random vectors; repeated vec_ids are rows of their own."""
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((3000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    other = draw.standard_normal((1000, 64))
+    other -= (other * x[:1000]).sum(1)[:, None] * x[:1000]
+    other /= np.sqrt((other * other).sum(1))[:, None]
+    c = draw.uniform(0.931, 0.96, 1000)[:, None]
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate((x, c * x[:1000] + np.sqrt(1 - c * c) * other)))]
+    rows += [(5000, rows[0][1], 1), (5000, rows[1][1], 1)]
+    found = [r for r in vector_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()]
+    linked = {r.vec_id for r in found if r.n_links}
+    assert len(linked & (set(range(1000)) | set(range(3000, 4000)))) >= 0.98 * 2000 and not linked & set(range(1000, 3000))
+    assert sorted((r.n_links, r.component_id) for r in found if r.vec_id == 5000) == [(2, 0), (2, 1)]
+
+
+def test_shared_pivots_and_lists():
+    draw = np.random.default_rng(4)
+    for most in (20, 3000):
+        a, b = (np.array([draw.choice(most, 8, replace=False) for _ in range(40)]) for _ in range(2))
+        plain = np.array([[len(set(p) & set(q)) for q in b.tolist()] for p in a.tolist()])
+        assert (vector_dedup.shared_pivots(a, b) == plain).all()
+    a, b = np.array([[5, 1, 9]]), np.array([[9, 5, 2]])
+    assert vector_dedup.first_shared(a, b, 1, 100).tolist() == [5] and vector_dedup.first_shared(a, b, 2, 100).tolist() == [509]
