@@ -158,12 +158,37 @@ def test_arc_versions_and_damage():
         records = list(warc.parse_arc(data))
         assert [f[0] for _, f, _ in records] == ["http://a%20b/", "http://c/"] and records[0][2].endswith(b"body\nfiledesc://")
         made = [warc.convert_record("x.arc", *r) for r in records]
-        assert made[0][3] == "2020-01-02T03:04:05Z" and made[0][8] == 16 and made[0][9] == hashlib.sha256(b"body\nfiledesc://").hexdigest()
+        assert made[0][3] == "2020-01-02T03:04:05Z" and made[0][10] == 16 and made[0][11] == hashlib.sha256(b"body\nfiledesc://").hexdigest()
         assert made == [warc.convert_record("x.arc", *r) for r in records] and made[0][2] != made[1][2]
         with pytest.raises(ValueError):
             list(warc.parse_arc(data[:-8]))
 
 
+def test_arc_conversion_takes_any_bytes(spark, tmp_path, monkeypatch):
+    image, latin = bytes(range(256)) * 40, "Größe é".encode("latin-1") * 30
+    blocks = [b"HTTP/1.1 200 OK\r\nX-Note: " + "naïve".encode("latin-1") + b"\r\n\r\n" + latin, image, b"HTTP/1.1 200 OK\r\n\r\n" + b"\0" * (50 << 20), b"HTTP/1.1 200 OK\r\n\r\n" + image]
+    rows = [(None, None), ("empty.arc", b"")]
+    for version in (1, 2):
+        data = warc.version_block("x.arc", version, "20200102030405")
+        for k, block in enumerate(blocks):
+            data += warc.arc_record(version, f"http://a/\u3000{k}", "20200102030405", "image/png", block, "x.arc", len(data)).replace(b" 0.0.0.0 ", b" 192.0.2.7 ", 1)
+        rows.append((f"x{version}.arc", data))
+    records = warc.convert_arc(spark.createDataFrame(rows, "archive string, content binary"))
+    path = str(tmp_path / "out")
+    warc.write_warc(warc.mark_revisits(records), path)
+    found = warc.read_warc(spark, path).collect()
+    payloads = [warc.split_http(b)[1] for b in blocks]
+    assert sorted((r.payload_digest, r.payload_bytes) for r in found) == sorted(2 * [(hashlib.sha256(p).hexdigest(), len(p)) for p in payloads])
+    assert {r.ip for r in found} == {"192.0.2.7"} and {r.target for r in found} == {f"http://a/%E3%80%80{k}" for k in range(4)}
+    assert {bytes(r.http) for r in found} == {warc.split_http(b)[0] for b in blocks}
+    assert sum(r.record_type == "revisit" for r in found) == 5  # of eight records three payloads differ
+    import gzip
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*"))  # zeros at the end are padding
+    assert whole.count(b"WARC/1.1\r\n") == 8
+    with pytest.raises(ValueError):
+        warc.convert_record("x.arc", 0, ["u", "-", "2020", "t", "200", "0" * 32, "-", "0", "x", "1"], b"x")
+
+
 def test_warc_query_matches_plain_digests(spark, tmp_path):
     long = "é" * 80
     rows = [(1, "http://a/1", long), (2, "http://a/2", long), (3, None, long), (4, "http://a/3", "short"), (5, "http://a/4", "short"), (6, "u", None), (7, "u", ""), (8, "u", "x\r\n\r\nWARC/1.1\r\n\r\n" * 40), (9, "u", "z" * 300_000), (0, "u", "z" * 300_000)]
