@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     rows = prepared(docs).join(F.broadcast(chosen), "doc_id", "left").filter(F.col("quality").isNotNull() | (draw < share))
     found = rows.select("doc_id", "quality", "slots", "text").mapInArrow(_view_rows, "doc_id long, quality double, slots array<int>, view binary")
     found = found.groupBy("doc_id", "quality").agg(F.min(F.struct("view", "slots")).alias("first")).select("doc_id", "quality", "first.*").collect()
-    found.sort(key=lambda r: r.doc_id)
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id))
     named, other = [r for r in found if r.quality is not None], [r for r in found if r.quality is None][:2 * pool]
     views = lambda rs: np.frombuffer(b"".join(bytes(r.view) for r in rs), np.float32).reshape(len(rs), TEXT_WIDTH)
     metas = lambda rs: meta_view(np.array([r.slots for r in rs], np.int64).reshape(len(rs), 3))

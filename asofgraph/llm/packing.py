@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from asofgraph.llm.common import WORD_PATTERN, read_table
 
 CAPACITY = 2048
-#: Words that one task packs; bins don't reach across tasks.
+#: Words that one task packs, on average at most; bins don't reach across tasks.
 SHARD_WORDS = 4_000_000
+#: A word and the space after it have so many bytes at least, so that bytes bound words.
+LEAST_WORD_BYTES = 2
 #: Hash buckets from which shards are made, an upper bound of their number.
 FINE = 1 << 20
 
@@ -81,27 +83,30 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS, cluster: str | None = None) -> DataFrame:
     """One row a piece: shard, bin (in its shard), doc_id, piece, words, start, source, cluster.
 
     A text of n words has ceil(n / capacity) pieces, all full but the last; one without words (or
     null) has one piece of size 0, so no document is lost. Pieces of a document never share a bin,
-    as they have the same source. A null source conflicts with null; documents are of one cluster
-    if their texts agree but for A-Z case and white space (all blank texts are one). Shards are
-    dealt by document, so a source or cluster with a third of all rows is in all of them alike;
-    what a task holds is bounded by ``shard_words`` and never includes texts. Largest pieces go
-    first, ties by doc_id and piece; equal rows are packed each.
+    as they have the same source. A null source conflicts with null. Documents are of one cluster if
+    they agree in the column ``cluster`` (such as the component of a near-duplicate join; null conflicts with
+    null) or, without one, if their texts agree but for A-Z case and white space (all blank texts are one).
+    Shards are dealt by doc_id and text, so neither a source or cluster with a third of all rows nor rows
+    without doc_id gather in one; what a task holds is bounded by ``shard_words`` and never includes
+    texts. Largest pieces go first, ties by doc_id and piece; equal rows are packed each.
     """
     text = F.coalesce("text", F.lit(""))
     plain = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     size = F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
-    fine = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(FINE))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(plain).alias("cluster"), size.alias("size"), fine.alias("fine"))
+    digest = F.md5(plain)
+    fine = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", digest), F.lit(FINE))
+    group = digest if cluster is None else F.col(cluster).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.alias("cluster"), size.alias("size"), fine.alias("fine"))
     whole = (F.col("size") / capacity).cast("long")
     lengths = F.concat(F.array_repeat(F.lit(capacity).cast("long"), whole.cast("int")), F.array(F.col("size") - whole * capacity))
     lengths = F.when((F.col("size") > 0) & (F.col("size") == whole * capacity), F.slice(lengths, F.lit(1), whole.cast("int"))).otherwise(lengths)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(FINE, -(-total // (6 * shard_words))))  # about six bytes a word
+    shards = max(1, min(FINE, -(-total // (LEAST_WORD_BYTES * shard_words))))
     cut = rows.select((F.col("fine") % shards).alias("shard"), "doc_id", "source", "cluster", F.posexplode(lengths).alias("piece", "words"))
     cut = cut.withColumn("piece", F.col("piece").cast("long"))
     dealt = cut.repartition("shard").sortWithinPartitions("shard", F.desc("words"), "doc_id", "piece", "cluster", "source")

@@ -253,6 +253,20 @@ def test_packing_invariants_and_best_fit(spark):
     assert packing.pack(docs_frame(spark, rows[:0])).count() == 0
 
 
+def test_packing_edges(spark):
+    rows = [(None, f"w{k} x", "en", "s") for k in range(60)] + [(1, "a b", "en", "t")] * 3 + [(2, "w " * 5000, "en", "u"), (3, "near", "en", "v"), (4, "nearly", "en", "w")]
+    frame = docs_frame(spark, rows).withColumn("near", F.when(F.col("doc_id") >= 3, 7).otherwise(F.monotonically_increasing_id() + 100))
+    found = packing.pack(frame, capacity=100, shard_words=500, cluster="near").collect()
+    assert len({r.shard for r in found if r.doc_id is None}) > 3  # rows without doc_id are spread
+    assert sum(r.words for r in found if r.doc_id == 2) == 5000 and [r.words for r in found if r.doc_id == 1] == [2] * 3
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.shard, r.bin].append(r)
+    assert all(len({r.cluster for r in b}) == len({r.source for r in b}) == len(b) for b in bins.values())
+    whole = packing.pack(frame, cluster="near").collect()
+    assert {r.doc_id: r.bin for r in whole}[3] != {r.doc_id: r.bin for r in whole}[4]  # one cluster, two bins
+
+
 PROSE = {"aa": "the and with from this that over under", "bb": "der die das und mit von nicht auf", "cc": "le la les des une dans avec pour"}
 
 
@@ -277,6 +291,38 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(frame, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, f"l{k % 250:03d}".translate(str.maketrans("0123456789", "abcdefghij")) * 6 + f" q{k}", f"lang{k % 250}", "s") for k in range(3000)]
+    model = langid.train(docs_frame(spark, rows))
+    assert len(model.languages) == 250 and model.landmarks.shape[1] == 500
+    found = langid.identify(docs_frame(spark, rows), model).collect()
+    assert np.mean([r.lang_pred == f"lang{r.doc_id % 250}" for r in found]) >= 0.9
+
+
+def test_language_query_matches_plain_kernels(spark):
+    """Every document of the small table, its n-grams counted one by one, against the query."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    landmarks, weights = model.landmarks.astype(float), model.weights.astype(float)
+    found = {r.doc_id: r for r in langid.op6_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (found[r.doc_id].lang_pred, found[r.doc_id].score) == ("und", 0.0)
+            continue
+        letters = [b if b >= 128 or 97 <= b <= 122 else 32 for b in r.text.lower().encode()]
+        places = set()
+        for order in (1, 2, 3):
+            for k in range(len(letters) - order + 1):
+                code = 0
+                for b in letters[k:k + order]:
+                    code = (code * 257 + b) % 2**32
+                places.add((code + order) * 2654435761 % 2**32 >> 19)
+        kernel = landmarks[sorted(places)].sum(0) / len(places) ** 0.5
+        value = kernel @ weights[:-1] + weights[-1]
+        assert model.languages[int(value.argmax())] == found[r.doc_id].lang_pred
+        assert abs(min(1.0, max(0.0, (value.max() + 1) / 2)) - found[r.doc_id].score) < 1e-4
+
+
 def test_language_stage_rejects_lettered_text_of_no_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     draw = random.Random(12)
@@ -311,6 +357,58 @@ def test_cotraining_separates_and_keeps_edges(spark):
     assert cotraining.score(frame.limit(0), model).count() == 0
 
 
+def test_quality_query_matches_plain_views(spark):
+    """Every document of the small table, its features counted one by one and its two views combined, against the query."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = cotraining.train(docs, labels)
+    slots = {r.doc_id: r.slots for r in docs.select("doc_id", cotraining.meta_slots().alias("slots")).collect()}
+    found = {r.doc_id: r for r in cotraining.op3_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == docs.count()
+    odds = lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.collect():
+        data, words = (r.text or "").encode(), WORD.findall((r.text or "").translate({i: i + 32 for i in range(65, 91)}))
+        view = np.zeros(cotraining.TEXT_WIDTH)
+        if data:
+            for b in data:
+                view[b] += 1 / len(data)
+            view[:256] = np.sqrt(view[:256])
+            shingles = {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+            n = max(len(words), 1)
+            view[256:] = len(set(words)) / n, len(shingles) / max(len(words) - 4, 1), sum(a == b for a, b in zip(words, words[1:])) / n, np.log1p(len(words)) / 10, len(data) / n / 20
+        text = ((view - model.text_scale[0]) / model.text_scale[1]) @ model.text[:-1] + model.text[-1]
+        meta = sum(model.meta[k] for k in slots[r.doc_id]) + model.meta[-1]
+        views = [c[0] * v + c[1] for c, v in zip(model.calibration, (text, meta))]
+        both = np.clip(views, -30, 30) @ model.combination[:2] + model.combination[2]
+        row = found[r.doc_id]
+        assert np.allclose([row.text_score, row.page_score, row.score], [odds(np.clip(views[0], -30, 30)), odds(np.clip(views[1], -30, 30)), odds(both)], atol=2e-3)
+        assert row.keep == (row.score >= 0.5)
+
+
+def test_cotraining_of_repeated_rows(spark):
+    rows = [(k % 40, f"good words number {k}" if k % 2 else "*** $$$ ***", "en", "s") for k in range(400)]
+    frame = docs_frame(spark, rows + [(1, "good words", "en", "s")] * 500)
+    model = cotraining.train(frame, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    assert cotraining.score(frame, model).count() == 900
+
+
+def test_pipeline_loses_no_text_and_keeps_no_copy_where_doc_ids_repeat(spark, tmp_path):
+    import corpus_pipeline
+
+    t, u = "a common text of seven words here", "quite another one that nobody else has"
+    rows = [(1, t, "en", "s"), (1, t, "en", "s"), (2, t, "en", "s"), (5, u, "en", "s"), (5, t, "en", "s"), (None, t, "en", "s"), (None, "one more of its own without number", None, None), (None, None, "en", "s"), (7, "", "en", "s")]
+    frame = docs_frame(spark, rows).withColumns({c: F.lit(1) for c in ("component_id", "draw", "slots", "row")})
+    kept = corpus_pipeline.near_duplicates(spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, t), (5, u), (None, rows[6][1]), (None, None), (7, "")], key=str)
+    labels = spark.createDataFrame([(5, 1), (1, 0)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+        stage(spark, frame, str(tmp_path)).count()
+    mixed = mixing.mixed_documents(docs_frame(spark, [(1, "a b c d", "en", "s")] * 9 + [(2, "x " * 100, "en", "t")])).filter("doc_id = 1")
+    assert 53 - 9 <= mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0] <= 72  # equal rows share what is due
+
+
 def test_pipeline_stages_keep_their_promises(spark, tmp_path):
     import corpus_pipeline
 
