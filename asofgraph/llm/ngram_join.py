@@ -510,7 +510,7 @@ def _cluster_components(clusters: DataFrame, texts: DataFrame, width: int, perce
     walkers = rest.join(asked, "component").withColumn("rest", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("rests")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     others = large.join(asked, "component").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
     both = walkers.select(F.col("node").alias("rep"), F.lit(True).alias("walk"), part).union(others.select(F.col("node").alias("rep"), F.lit(False).alias("walk"), part))
-    both = both.groupBy("rep", "part").agg(F.max("walk").alias("walk"))
+    both = materialize(both.groupBy("rep", "part").agg(F.max("walk").alias("walk")), "rest")  # of known size: a few identifiers needn't shuffle the texts
     return components(parts.toDF("u", "v").union(links(both)))
 
 
