@@ -6,11 +6,15 @@ half-open, [effective_start, effective_end); a null end means open where a funct
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofgraph.functions.clock import local_year, year_end
 from asofgraph.operators.intervals import closes_before, day_table, islands, latest, numbered
+from asofgraph.operators.refusals import refuse_rows, unless
+from asofgraph.session import checkpoint_folder
 
 EDGE_LIFE_DAYS = 550
 PAIR = ["supplier_id", "customer_id"]
@@ -35,9 +39,17 @@ def orient(mentions: DataFrame, life_days: int = EDGE_LIFE_DAYS) -> DataFrame:
     return rows.filter(F.col("supplier_id") != F.col("customer_id"))
 
 
-def collapse(evidence: DataFrame, life: tuple[str, ...] = ("publication_datetime", "effective_start", "effective_end")) -> DataFrame:
-    """One edge for each pair and document: the shared dates and the largest confidence."""
-    return evidence.groupBy(*PAIR_DOCUMENT).agg(*(F.min(c).alias(c) for c in life), F.max("relationship_confidence").alias("relationship_confidence"))
+def collapse(evidence: DataFrame, life: tuple[str, ...] = ("publication_datetime", "effective_start", "effective_end"), strict: bool = False) -> DataFrame:
+    """One edge for each pair and document: the shared dates, the largest confidence and equal weight.
+
+    source_period_end and source_company_id come along where the evidence has them. With ``strict``, evidence of
+    one edge that disagrees in a shared column is an error (``conflicts`` lists it).
+    """
+    shared = [*life, *(c for c in ("source_period_end", "source_company_id") if c in evidence.columns)]
+    differ = lambda c: (F.min(c) != F.max(c)) | (F.count(c) != F.count("*")) & (F.count(c) > 0)
+    value = lambda c: unless(differ(c), F.min(c), f"evidence of one edge disagrees in {c}:", *map(F.col, PAIR_DOCUMENT)) if strict else F.min(c)
+    found = evidence.groupBy(*PAIR_DOCUMENT).agg(*(value(c).alias(c) for c in shared), F.max("relationship_confidence").alias("relationship_confidence"))
+    return found.withColumns({"economic_weight": F.lit(1.0), "weight_source": F.lit("equal")})
 
 
 def conflicts(evidence: DataFrame, invariants: tuple[str, ...] = ("publication_datetime", "effective_start", "effective_end")) -> DataFrame:
@@ -217,16 +229,20 @@ def gate(yearly: DataFrame, least_edges: int, least_stocks: int, least_years: in
     return years.crossJoin(run).crossJoin(middle).withColumn("passed", passed).withColumn("outcome", F.when(passed, "FEASIBLE").otherwise("INFEASIBLE_DATA"))
 
 
-def diffusion_signals(edges: DataFrame, residuals: DataFrame) -> DataFrame:
+def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Mean neighbour residual of every node with an active edge at each date's close.
 
     An edge is active from its start to before its end (null: open). Overlapping evidence for a pair
     counts once; null residuals are left out of mean and count. Intervals become calendar positions
     through a broadcast day table, evidence of a pair becomes disjoint intervals, and only then
-    positions are generated: no range join and no distinct over pairs and dates.
+    positions are generated: no range join and no distinct over pairs and dates. Edges of a node to itself
+    or without one of their ends are an error. ``calendar`` has the residuals' dates, if they are at hand.
     """
-    days = day_table(residuals)
-    dates = numbered(residuals)
+    calendar = residuals if calendar is None else calendar
+    days = day_table(calendar)
+    dates = numbered(calendar)
+    edges = refuse_rows(edges, F.col("supplier_id").isNull() | F.col("customer_id").isNull(), "an edge without one of its ends")
+    edges = refuse_rows(edges, F.col("supplier_id") == F.col("customer_id"), "an edge to itself:", F.col("supplier_id"))
     total = dates.agg(F.count("*").cast("long").alias("n"))
     held = closes_before(closes_before(edges.select(*PAIR, "effective_start", "effective_end"), "effective_start", days, "low"), "effective_end", days, "high")
     held = held.crossJoin(F.broadcast(total)).withColumn("high", F.coalesce("high", "n")).select(*PAIR, F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
@@ -243,19 +259,22 @@ def diffusion_signals(edges: DataFrame, residuals: DataFrame) -> DataFrame:
     return found.join(F.broadcast(dates), "pos").select("date", "security_id", "customer_shock", "supplier_shock", "customer_neighbor_count", "supplier_neighbor_count", F.col("date").alias("graph_snapshot_date"))
 
 
-def weak_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def weak_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over edges in either direction.
 
+    Rounds go on until nothing changes; with ``rounds``, a graph that needs more is an error.
+
     Labels fall to the least label of the neighbours and then to the label of that label, so chains
     halve each round. Every round is written with checkpoint() to the shared folder.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoint_folder(spark)
     pairs = edges.select(F.col("supplier_id").alias("a"), F.col("customer_id").alias("b")).distinct()
     both = pairs.union(pairs.select("b", "a")).checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components still change after {rounds} rounds")
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "m").alias("low"))
         hop = label.select(F.col("node").alias("at"), F.col("component").alias("next"))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofgraph.operators.intervals import numbered
+from asofgraph.operators.refusals import unless
 
 COSTS = ("commission", "slippage", "stamp_tax", "venue_fee")
 
 
-def quantile_weights(signals: DataFrame, signal: str, quantiles: int = 5, gross: float = 1.0, net: float = 0.0) -> DataFrame:
+def quantile_weights(signals: DataFrame, signal: str, quantiles: int = 5, gross: float = 1.0, net: float = 0.0, cap: float | None = None) -> DataFrame:
     """Equal weights on the top and bottom max(1, min(n // q, n // 2)) names of each date.
 
     Ties go to the smaller security_id at both ends. Dates with one name have no weights; sides of
-    weight zero are left out.
+    weight zero are left out. A weight above ``cap`` is an error.
     """
     usable = signals.filter(F.col(signal).isNotNull())
     per = Window.partitionBy("date")
@@ -24,6 +25,8 @@ def quantile_weights(signals: DataFrame, signal: str, quantiles: int = 5, gross:
     tail = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / quantiles), F.floor(F.col("n") / 2)))
     up, down = (gross + net) / 2, (gross - net) / 2
     weight = F.when(F.col("high") <= tail, F.lit(up) / tail).when(F.col("low") <= tail, F.lit(-down) / tail)
+    if cap is not None:
+        weight = unless(F.abs(weight) > cap + 1e-12, weight, f"a target weight is above {cap} on", F.col("date"), F.col("security_id"))
     return ranked.filter("n > 1").select(F.col("date").alias("signal_date"), "security_id", weight.alias("target_weight")).filter("target_weight IS NOT NULL AND target_weight <> 0")
 
 
@@ -46,9 +49,12 @@ def block_reason(side: str, least_amount: float) -> Column:
         .when(F.coalesce(F.col("amount"), F.lit(0.0)) < least_amount, "below_minimum_liquidity"))
 
 
-def fills(panel: DataFrame, calendar: DataFrame, least_amount: float) -> DataFrame:
-    """For every security of the panel and trading date: reasons by side, and where, when and at what open each side fills next."""
-    cells = panel.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar)))
+def fills(panel: DataFrame, calendar: DataFrame, least_amount: float, dates: DataFrame | None = None) -> DataFrame:
+    """For every security of the panel and trading date: reasons by side, and where, when and at what open each side fills next.
+
+    ``dates`` is the numbered calendar, if it is at hand.
+    """
+    cells = panel.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar) if dates is None else dates))
     rows = cells.join(panel.select("date", "security_id", "open", "amount", "tradable", "suspended", "limit_up", "limit_down", F.lit(True).alias("present")), ["date", "security_id"], "left")
     rows = rows.withColumns({"buy_reason": block_reason("buy", least_amount), "sell_reason": block_reason("sell", least_amount)})
     ahead = Window.partitionBy("security_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
@@ -57,13 +63,29 @@ def fills(panel: DataFrame, calendar: DataFrame, least_amount: float) -> DataFra
     return rows.withColumns({f"next_{s}": F.col(f"{s}_fill.pos") for s in ("buy", "sell")})
 
 
+def default_slippage(offered: list[float]) -> float:
+    """10 basis points where offered, else the first."""
+    if not offered:
+        raise ValueError("no slippage is offered")
+    return 10.0 if 10.0 in map(float, offered) else float(offered[0])
+
+
 def fee_rates(fees: DataFrame, dates: DataFrame) -> DataFrame:
-    """(date, side, stamp, venue): rates in force on each date, [from, to] inclusive; a side of 'both' counts for both."""
-    day = dates.select("date").distinct()
-    named = fees.withColumn("sides", F.when(F.lower("side") == "both", F.array(F.lit("buy"), F.lit("sell"))).otherwise(F.array(F.lower("side")))).withColumn("side", F.explode("sides"))
-    joined = day.join(F.broadcast(named), F.col("date").between(F.col("valid_from"), F.col("valid_to")))
-    return joined.groupBy("date", "side").agg(
-        F.sum(F.when(F.col("kind") == "stamp_tax", F.col("rate")).otherwise(0.0)).alias("stamp"), F.sum(F.when(F.col("kind") != "stamp_tax", F.col("rate")).otherwise(0.0)).alias("venue"))
+    """(date, side, stamp, venue): rates in force on each date that a rule covers, [from, to] inclusive; a side of 'both' counts for both."""
+    named = fees.select(F.lower("side").alias("_side"), "kind", "rate", "valid_from", "valid_to")
+    joined = dates.select("date").distinct().join(F.broadcast(named), F.col("date").between(F.col("valid_from"), F.col("valid_to")))
+    rows = joined.withColumn("side", F.explode(F.array(F.lit("buy"), F.lit("sell"))))
+    mine = F.col("_side").isin("both") | (F.col("_side") == F.col("side"))
+    rate = lambda stamp: F.sum(F.when(mine & (F.col("kind").contains("stamp_tax") == F.lit(stamp)), F.col("rate")).otherwise(0.0))
+    return rows.groupBy("date", "side").agg(rate(True).alias("stamp"), rate(False).alias("venue"))
+
+
+def day_terms(dates: DataFrame, fees: DataFrame, settlement: DataFrame) -> DataFrame:
+    """(pos, date, rules, offset, rates): a row a trading date with its number of settlement rules, offset and fees by side."""
+    offsets = dates.join(F.broadcast(settlement.select("valid_from", "valid_to", "offset")), F.col("date").between(F.col("valid_from"), F.col("valid_to")), "left")
+    offsets = offsets.groupBy("pos", "date").agg(F.count("offset").alias("rules"), F.max("offset").alias("offset"))
+    rates = fee_rates(fees, dates).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("stamp", "venue")))).alias("rates"))
+    return offsets.join(rates, "date", "left")
 
 
 def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees: DataFrame, settlement: DataFrame, hold: int = 1, least_amount: float = 0.0, commission_bps: float = 3.0, slippage_bps: float = 10.0, capital: float = 1.0) -> DataFrame:
@@ -71,43 +93,48 @@ def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees:
 
     The exit is due after the larger of ``hold`` and the settlement offset; it waits until its side can
     fill, and a trade that never can stays OPEN. The next fillable date is a window minimum
-    computed once for each security, so an exit is a lookup.
+    computed once for each security, so an exit is a lookup: each weight asks the fill table for its entry and its due
+    date in one join. What depends on the date alone is one small table, broadcast. An entry on a date without
+    exactly one settlement rule, and a leg on a date that no fee rule covers, are errors.
     """
     dates = numbered(calendar)
-    table = fills(panel, calendar, least_amount)
-    last = dates.agg(F.max("pos").alias("last_pos"))
-    named = lambda name: F.broadcast(dates.select(F.col("pos").alias(f"{name}_pos"), F.col("date").alias(f"{name}_date")))
-    at = weights.join(named("signal"), "signal_date").crossJoin(F.broadcast(last))
+    days = F.broadcast(day_terms(dates, fees, settlement).select("pos", "date", "rules", "offset", "rates"))
+    named = lambda name, *more: days.select(F.col("pos").alias(f"{name}_pos"), F.col("date").alias(f"{name}_date"), *more)
+    last = F.broadcast(dates.agg(F.max("pos").alias("last_pos")))
     long = F.col("target_weight") > 0
-    entry = table.select("security_id", F.col("pos").alias("entry_pos"), F.col("open").alias("entry_price"), "buy_reason", "sell_reason", F.lit(True).alias("known"))
-    rows = at.withColumn("entry_pos", F.col("signal_pos") + 1).join(named("entry"), "entry_pos", "left").join(entry, ["security_id", "entry_pos"], "left")
+    asked = weights.join(named("signal"), "signal_date").crossJoin(last).withColumn("entry_pos", F.col("signal_pos") + 1)
+    asked = asked.join(named("entry", "rules", "offset", F.col("rates").alias("entry_rates")), "entry_pos", "left")
+    due = F.greatest(F.lit(hold), F.coalesce("offset", F.lit(0)))
+    asked = asked.withColumn("due_pos", F.col("entry_pos") + due).join(named("due"), "due_pos", "left")
+    at = F.explode(F.array(F.struct(F.lit(True).alias("entry"), F.col("entry_pos").alias("pos")), F.struct(F.lit(False).alias("entry"), F.col("due_pos").alias("pos"))))
+    table = fills(panel, calendar, least_amount, dates).select("security_id", "pos", F.struct("open", "buy_reason", "sell_reason", "buy_fill", "sell_fill").alias("cell"))
+    met = asked.withColumn("ask", at).withColumn("pos", F.col("ask.pos")).join(table, ["security_id", "pos"], "left")
+    keys = [c for c in asked.columns if c != "entry_rates"]
+    one = lambda entry: F.first(F.when(F.col("ask.entry") == F.lit(entry), F.col("cell")), ignorenulls=True)
+    rows = met.groupBy("signal_date", "security_id", "target_weight").agg(
+        *(F.first(c).alias(c) for c in keys if c not in ("signal_date", "security_id", "target_weight")), F.first("entry_rates").alias("entry_rates"), one(True).alias("entry"), one(False).alias("due"))
     reason = (
-        F.when(F.col("entry_date").isNull(), "no_next_trading_day").when(F.col("known").isNull(), "missing_market_row")
-        .when(long, F.col("buy_reason")).otherwise(F.col("sell_reason")))
-    offsets = dates.join(F.broadcast(settlement), F.col("date").between(F.col("valid_from"), F.col("valid_to"))).select(F.col("date").alias("entry_date"), "offset")
-    rows = rows.withColumn("entry_block_reason", F.coalesce(reason, F.lit(""))).join(F.broadcast(offsets), "entry_date", "left")
-    rows = rows.withColumn("due_pos", F.col("entry_pos") + F.greatest(F.lit(hold), F.coalesce("offset", F.lit(0))))
-    rows = rows.join(named("due").withColumnRenamed("due_date", "scheduled_exit_date"), "due_pos", "left")
-    due = table.select("security_id", F.col("pos").alias("due_pos"), "buy_fill", "sell_fill")
-    fill = F.when(F.col("entry_block_reason") == "", F.when(long, F.col("sell_fill")).otherwise(F.col("buy_fill")))
-    rows = rows.join(due, ["security_id", "due_pos"], "left").withColumn("fill", fill)
-    rows = rows.withColumns({"exit_pos": F.col("fill.pos"), "exit_date": F.col("fill.date"), "exit_price": F.col("fill.open")})
+        F.when(F.col("entry_date").isNull(), "no_next_trading_day").when(F.col("entry").isNull(), "missing_market_row")
+        .when(long, F.col("entry.buy_reason")).otherwise(F.col("entry.sell_reason")))
+    rows = rows.withColumn("entry_block_reason", F.coalesce(reason, F.lit("")))
     entered = F.col("entry_block_reason") == ""
+    checked = unless(entered & (F.col("rules") != 1), F.col("entry_block_reason"), "not one settlement rule on", F.col("entry_date"))
+    rows = rows.withColumn("entry_block_reason", checked).withColumnRenamed("due_date", "scheduled_exit_date")
+    fill = F.when(entered, F.when(long, F.col("due.sell_fill")).otherwise(F.col("due.buy_fill")))
+    rows = rows.withColumns({"entry_price": F.col("entry.open"), "exit_pos": fill.pos, "exit_date": fill.date, "exit_price": fill.open})
     status = F.when(~entered, "ENTRY_REJECTED").when(F.col("exit_date").isNull(), "OPEN").otherwise("CLOSED")
     rows = rows.withColumns({"status": status, "entry_side": F.when(long, "buy").otherwise("sell"), "exit_side": F.when(long, "sell").otherwise("buy")})
-    rates = fee_rates(fees, calendar)
-    for leg in ("entry", "exit"):
-        named = rates.select(F.col("date").alias(f"{leg}_date"), F.col("side").alias(f"{leg}_side"), F.col("stamp").alias(f"{leg}_stamp"), F.col("venue").alias(f"{leg}_venue"))
-        rows = rows.join(F.broadcast(named), [f"{leg}_date", f"{leg}_side"], "left")
+    rows = rows.join(days.select(F.col("pos").alias("exit_pos"), F.col("rates").alias("exit_rates")), "exit_pos", "left")
     zero = F.lit(0.0)
     rows = rows.withColumn("entry_notional", F.when(entered, F.abs("target_weight") * capital).otherwise(zero)).withColumn("quantity", F.when(entered, F.col("entry_notional") / F.col("entry_price")).otherwise(zero))
     closed = F.col("status") == "CLOSED"
     rows = rows.withColumn("exit_notional", F.when(closed, F.col("quantity") * F.col("exit_price")).otherwise(zero))
     costs: dict[str, Column] = {}
-    for leg in ("entry", "exit"):
-        notional = F.col(f"{leg}_notional")
+    for leg, there in (("entry", entered), ("exit", closed)):
+        notional, rates = F.col(f"{leg}_notional"), F.col(f"{leg}_rates")
+        due = lambda kind: F.when(there, unless(rates.isNull(), notional * rates[F.col(f"{leg}_side")][kind], "no fee rule on", F.col(f"{leg}_date"))).otherwise(zero)  # noqa: B023, E731
         costs |= {f"{leg}_commission_cost": notional * commission_bps / 10_000, f"{leg}_slippage_cost": notional * slippage_bps / 10_000,
-                  f"{leg}_stamp_tax_cost": notional * F.coalesce(F.col(f"{leg}_stamp"), zero), f"{leg}_venue_fee_cost": notional * F.coalesce(F.col(f"{leg}_venue"), zero)}
+                  f"{leg}_stamp_tax_cost": due("stamp"), f"{leg}_venue_fee_cost": due("venue")}
     rows = rows.withColumns(costs)
     rows = rows.withColumns({f"{c}_cost": F.col(f"entry_{c}_cost") + F.col(f"exit_{c}_cost") for c in COSTS})
     direction = F.when(long, 1.0).otherwise(-1.0)
@@ -125,17 +152,18 @@ def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees:
 def daily_pnl(trades: DataFrame, calendar: DataFrame, capital: float = 1.0) -> DataFrame:
     """One row a trading date: realised P&L, costs and turnover of both legs, and exposure carried.
 
-    A trade is two events. Costs fall on the date of their leg, profit on the exit; exposure is a
+    A trade is two events, made of one reading of the trades. Costs fall on the date of their leg, profit on the exit; exposure is a
     running sum of +weight at entry and -weight at exit. Events are summed by date before the
     running sum, which therefore covers one row a date.
     """
     taken = trades.filter(F.col("status").isin("CLOSED", "OPEN"))
     zero = F.lit(0.0)
-    leg = lambda df, name, sign: df.select(
+    event = lambda name, sign: F.struct(
         F.col(f"{name}_date").alias("date"), *(F.col(f"{name}_{c}_cost").alias(f"{c}_cost") for c in COSTS), (F.col(f"{name}_notional") / capital).alias("turnover"),
         (F.col("gross_pnl") if sign < 0 else zero).alias("gross_pnl"), (sign * F.abs("target_weight")).alias("gross_step"), (sign * F.col("target_weight")).alias("net_step"),
         F.lit(1 if sign < 0 else 0).alias("closed"))
-    events = leg(taken, "entry", 1).union(leg(taken.filter("status = 'CLOSED'"), "exit", -1))
+    both = F.array(*(F.when(there, event(name, sign)) for name, sign, there in (("entry", 1, F.lit(True)), ("exit", -1, F.col("status") == "CLOSED"))))
+    events = taken.select(F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select("e.*")
     sums = events.groupBy("date").agg(*(F.sum(c).alias(c) for c in events.columns if c != "date"))
     rows = numbered(calendar).join(sums, "date", "left").fillna(0.0)
     running = Window.orderBy("pos")

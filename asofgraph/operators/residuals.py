@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofgraph.operators.intervals import numbered
+from asofgraph.operators.refusals import unless
 
 
 def attach_industry(panel: DataFrame, history: DataFrame) -> DataFrame:
-    """The industry in force on each row's date, [from, to), open if to is null."""
-    known = history.select(F.col("security_id").alias("_id"), "industry_code", "valid_from", "valid_to")
-    inside = (F.col("security_id") == F.col("_id")) & (F.col("valid_from") <= F.col("date")) & (F.col("valid_to").isNull() | (F.col("date") < F.col("valid_to")))
-    return panel.join(known, inside, "left").drop("_id", "valid_from", "valid_to")
+    """The industry in force on each row's date, [from, to), open if to is null; an error where there are two.
+
+    A security's few memberships are one array, so each row meets them once and is never doubled.
+    """
+    known = history.groupBy(F.col("security_id").alias("_id")).agg(F.collect_list(F.struct("industry_code", "valid_from", "valid_to")).alias("_known"))
+    held = F.filter("_known", lambda h: (h.valid_from <= F.col("date")) & (h.valid_to.isNull() | (F.col("date") < h.valid_to)))
+    joined = panel.join(known, F.col("security_id") == F.col("_id"), "left").withColumn("_known", held)
+    one = unless(F.size("_known") > 1, F.get("_known", F.lit(0)), "several industries of one security on", F.col("date"), F.col("security_id"))
+    return joined.withColumn("_one", one).select(*panel.columns, F.col("_one.industry_code").alias("industry_code"))
 
 
 def leave_one_out(panel: DataFrame, history: DataFrame) -> DataFrame:
@@ -40,9 +46,12 @@ def residual_returns(panel: DataFrame, market: DataFrame, industry: DataFrame |
 
     The grid is every security by every factor date, so windows count dates, not quotes. Betas of
     row t come from rows t - lag - window + 1 to t - lag: all sums share one window and one shuffle by
-    security. The industry model is used if it can be fitted and the day has an industry return.
+    security. The industry model is used if it can be fitted and the day has an industry return; the window's
+    ends are those of the model used. A panel with ``is_suspended`` counts suspended rows as without return.
     """
     dates = numbered(market)
+    if "is_suspended" in panel.columns:
+        panel = panel.withColumn("raw_return", F.when(~F.coalesce("is_suspended", F.lit(False)), F.col("raw_return")))
     keys = panel.select("security_id").distinct().crossJoin(F.broadcast(dates.join(market, "date")))
     rows = keys.join(panel.select("date", "security_id", "raw_return", F.lit(True).alias("in_panel")), ["date", "security_id"], "left")
     if industry is not None:
@@ -55,7 +64,8 @@ def residual_returns(panel: DataFrame, market: DataFrame, industry: DataFrame |
     total = lambda ok, value: F.sum(F.when(ok, value)).over(span)
     moments: dict[str, Column] = {"n1": total(one, F.lit(1)), "y1": total(one, y), "m1": total(one, m), "mm1": total(one, m * m), "my1": total(one, m * y)}
     moments |= {"n2": total(two, F.lit(1)), "y2": total(two, y), "m2": total(two, m), "i2": total(two, i), "mm2": total(two, m * m), "ii2": total(two, i * i), "mi2": total(two, m * i), "my2": total(two, m * y), "iy2": total(two, i * y)}
-    rows = rows.withColumns(moments | {"start1": F.min(F.when(one, F.col("date"))).over(span), "end1": F.max(F.when(one, F.col("date"))).over(span)})
+    ends = {f"{name}{k}": end(F.when(ok, F.col("date"))).over(span) for name, end in (("start", F.min), ("end", F.max)) for k, ok in ((1, one), (2, two))}
+    rows = rows.withColumns(moments | ends)
     centred = lambda a, b, ab, n: F.col(ab) - F.try_divide(F.col(a) * F.col(b), F.col(n))
     rows = rows.withColumns({"smm": centred("m1", "m1", "mm1", "n1"), "smy": centred("m1", "y1", "my1", "n1")})
     rows = rows.withColumns({a + b: centred(x, z, xz, "n2") for a, b, x, z, xz in (
@@ -77,4 +87,4 @@ def residual_returns(panel: DataFrame, market: DataFrame, industry: DataFrame |
     guess = F.col("alpha") + F.col("beta_market") * m + F.coalesce(F.col("beta_industry") * i, F.lit(0.0))
     return rows.withColumn("residual_return", F.when(F.col("beta_market").isNotNull(), y - guess)).filter("in_panel").select(
         "date", "security_id", "raw_return", "market_return", "industry_return", "residual_return", "alpha", "beta_market", "beta_industry", "beta_observation_count",
-        F.col("start1").alias("beta_window_start"), F.col("end1").alias("beta_window_end"), "residual_model")
+        pick("start2", "start1").alias("beta_window_start"), pick("end2", "end1").alias("beta_window_end"), "residual_model")

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from asofgraph.functions.clock import local_day
 from asofgraph.functions.names import classify_name, may_reach, normalize_name, similarity
+from asofgraph.operators.refusals import refuse_rows, unless
 
 MENTION = ["source_document_id", "source_company_id", "counterparty_raw_name"]
+#: What the audit notes for each method.
+NOTES = {
+    "invalid": "invalid_name", "blocked_anonymous": "anonymous_label_blocked_by_rule", "exact_alias": "exact_alias_valid_at_publication",
+    "high_confidence_fuzzy": "score_and_uniqueness_margin_passed", "manual_override": "version_controlled_manual_override",
+    "exact_alias_collision": "ambiguous_exact_alias_not_auto_resolved", "none": "no_reproducible_candidate_passed_thresholds",
+}
 
 
 def active_on(day: Column) -> Column:
@@ -80,7 +87,8 @@ def resolve(mentions: DataFrame, aliases: DataFrame, overrides: DataFrame | None
         close = F.col("fuzzy_entity_id").isNotNull()
     manual = F.lit(False)
     if overrides is not None:
-        rows = rows.join(overrides.select(F.col("normalized_name"), F.col("entity_id").alias("override_id")), "normalized_name", "left")
+        only = unless(F.count("*") > 1, F.min("entity_id"), "an override is given twice:", F.col("normalized_name"))
+        rows = rows.join(overrides.groupBy("normalized_name").agg(only.alias("override_id")), "normalized_name", "left")
         manual = F.col("override_id").isNotNull()
     steps = [
         (F.col("name_class") == "invalid", "invalid", None, "invalid_name", None), (F.col("name_class") == "anonymous", "blocked_anonymous", None, "anonymous", None),
@@ -88,20 +96,28 @@ def resolve(mentions: DataFrame, aliases: DataFrame, overrides: DataFrame | None
         *([(close, "high_confidence_fuzzy", F.col("fuzzy_entity_id"), "resolved", F.col("score") / 100)] if fuzzy else []),
         *([(manual, "manual_override", F.col("override_id"), "resolved", F.lit(1.0))] if overrides is not None else []),
         (F.col("candidate_count") > 1, "exact_alias_collision", None, "ambiguous", None)]
-    method, entity, status, sure = F.lit("none"), F.lit(None), F.lit("unresolved"), F.lit(0.0)
+    method, entity, status, sure, notes = F.lit("none"), F.lit(None), F.lit("unresolved"), F.lit(0.0), F.lit(NOTES["none"])
     for when, name, who, state, confidence in reversed(steps):
-        method, status = F.when(when, name).otherwise(method), F.when(when, state).otherwise(status)
+        method, status, notes = F.when(when, name).otherwise(method), F.when(when, state).otherwise(status), F.when(when, NOTES[name]).otherwise(notes)
         entity = F.when(when, F.lit(None) if who is None else who).otherwise(entity)
         sure = F.when(when, F.lit(0.0) if confidence is None else confidence).otherwise(sure)
     return rows.select(
-        *MENTION, "normalized_name", "name_class", entity.alias("resolved_entity_id"), method.alias("resolution_method"), sure.alias("resolution_confidence"),
-        status.alias("resolution_status"), F.coalesce("candidate_count", F.lit(0)).cast("long").alias("candidate_count"))
+        *MENTION, F.when(F.col("name_class") == "named", F.col("normalized_name")).alias("normalized_name"), "name_class", entity.alias("resolved_entity_id"), method.alias("resolution_method"), sure.alias("resolution_confidence"),
+        status.alias("resolution_status"), F.coalesce("candidate_count", F.lit(0)).cast("long").alias("candidate_count"), notes.alias("notes"))
 
 
-def attach_resolution(mentions: DataFrame, audit: DataFrame) -> DataFrame:
-    """Mentions with their audit row. ``matched`` is false where there is none: callers refuse those."""
-    marked = audit.select(*MENTION, "resolved_entity_id", "resolution_status", "resolution_method", F.lit(True).alias("_hit"))
-    return mentions.join(marked, MENTION, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+def attach_resolution(mentions: DataFrame, audit: DataFrame, strict: bool = True) -> DataFrame:
+    """Mentions with their audit row; ``matched`` says whether there is one.
+
+    Two audit rows of a key are an error and so, if ``strict``, is a mention without any.
+    """
+    kept = ("resolved_entity_id", "resolution_status", "resolution_method")
+    one = unless(F.count("*") > 1, F.first(F.struct(*kept)), "several audit rows of", *map(F.col, MENTION))
+    marked = audit.groupBy(*MENTION).agg(one.alias("_audit"))
+    rows = mentions.join(marked, MENTION, "left")
+    if strict:
+        rows = refuse_rows(rows, F.col("_audit").isNull(), "no audit row of", *map(F.col, MENTION))
+    return rows.select(*mentions.columns, *(F.col(f"_audit.{c}").alias(c) for c in kept), F.col("_audit").isNotNull().alias("matched"))
 
 
 def alignment(mentions: DataFrame, audit: DataFrame) -> DataFrame:

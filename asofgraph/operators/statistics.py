@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofgraph.session import checkpoint_folder
+
 Z95 = 1.959963984540054  # fixed value: two-sided 95 % normal quantile
 
 
@@ -74,6 +76,50 @@ def trend(series: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.agg(F.percentile("slope", 0.5).alias("theil_sen"), F.try_divide(F.sum("sign"), F.sqrt(total.cast("double") * moved)).alias("kendall_tau"))
 
 
+def sign_test(up: Column, down: Column) -> Column:
+    """Two-sided exact p of so many rises and falls among independent changes of even chance."""
+    n = (up + down).cast("int")
+    ways = lambda i: F.factorial(n) / (F.factorial(i) * F.factorial(n - i))
+    tail = F.aggregate(F.sequence(F.lit(0), F.least(up, down).cast("int")), F.lit(0.0), lambda a, i: a + ways(i).cast("double"))
+    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
+
+
+def permutation_p(values: list[float]) -> float:
+    """Probability that a random order of the values is as far from no trend, by concordant less discordant pairs, as theirs.
+
+    The inversions of the orders of a multiset are counted by a Gaussian multinomial coefficient, built by
+    products and exact quotients of polynomials.
+    """
+    n, ties = len(values), pd.Series(values).value_counts().tolist()
+    ways = [1]
+
+    def times(size: int) -> None:  # by 1 + q + ... + q ** (size - 1)
+        nonlocal ways
+        ways = [sum(ways[max(0, k - size + 1):k + 1]) for k in range(len(ways) + size - 1)]
+
+    def over(size: int) -> None:
+        nonlocal ways
+        out: list[int] = []
+        for k in range(len(ways) - size + 1):
+            out.append(ways[k] - sum(out[max(0, k - size + 1):k]))
+        ways = out
+    for size in range(2, n + 1):
+        times(size)
+    for t in ties:
+        for size in range(2, t + 1):
+            over(size)
+    trend = abs(sum((b > a) - (b < a) for k, a in enumerate(values) for b in values[k + 1:]))
+    untied = len(ways) - 1
+    return sum(w for k, w in enumerate(ways) if abs(untied - 2 * k) >= trend) / sum(ways)
+
+
+def trend_tests(series: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """(group, p): the exact permutation test of no trend for each short series (a row a year), in order of x."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({group: rows[group].iloc[:1], "p": [permutation_p(rows.sort_values(x)[y].tolist())]})
+    return series.groupBy(group).applyInPandas(run, f"{group} {series.schema[group].dataType.simpleString()}, p double")
+
+
 def holm(tests: DataFrame, p: str) -> DataFrame:
     """Step-down adjusted p-values."""
     order = Window.orderBy(p, "test")
@@ -125,8 +171,7 @@ def placebo_edges(pairs: DataFrame, seeds: int, rounds: int = 20) -> DataFrame:
     gives one row with null ends. Edges stay distributed; rounds are written with checkpoint().
     """
     spark = pairs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoint_folder(spark)
     known = pairs.select(F.col("supplier_id").alias("s"), F.col("customer_id").alias("c")).distinct().checkpoint()
     groups = known.count() // 8 + 1
     ids = spark.range(seeds).withColumnRenamed("id", "seed")

@@ -59,7 +59,7 @@ CTES: dict[str, str] = {
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) AS s WHERE l_quantity >= 48""",
     "edges": """
         SELECT supplier_id, customer_id, source_document_id, min(publication_datetime) AS publication_datetime, min(effective_start) AS effective_start,
-          min(effective_end) AS effective_end, max(relationship_confidence) AS relationship_confidence
+          min(effective_end) AS effective_end, max(relationship_confidence) AS relationship_confidence, CAST(1.0 AS DOUBLE) AS economic_weight, 'equal' AS weight_source
         FROM evidence WHERE supplier_id <> customer_id GROUP BY supplier_id, customer_id, source_document_id""",
     "returns": """
         SELECT date, security_id, close / nullif(lag(close) OVER (PARTITION BY security_id ORDER BY date), 0) - 1 AS raw_return, is_suspended FROM quotes""",
@@ -67,12 +67,12 @@ CTES: dict[str, str] = {
         SELECT l_orderkey AS source_document_id, l_suppkey AS source_company_id, p_name || CASE WHEN l_linenumber % 4 = 0 THEN ' Co., Ltd.' WHEN l_linenumber % 7 = 1 THEN ' **' ELSE '' END AS counterparty_raw_name,
           CASE WHEN l_linenumber % 2 = 0 THEN 'customer' ELSE 'supplier' END AS relationship_type, CAST(o_orderdate AS TIMESTAMP) AS publication_datetime,
           'Disclosed: ' || p_name || ' at ' || p_brand AS evidence_text, CAST(l_discount AS DOUBLE) AS exposure_share
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey WHERE l_quantity >= 46""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
     "aliases": """
         SELECT p_partkey % suppliers AS entity_id, p_name AS alias,
           CAST(date_add(DATE '1990-01-01', CAST(p_partkey % 40 AS INT) * 100) AS DATE) AS valid_from,
           CASE WHEN p_partkey % 3 = 0 THEN CAST(date_add(DATE '1990-01-01', CAST(p_partkey % 40 AS INT) * 100 + 1500) AS DATE) END AS valid_to
-        FROM {part} CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) AS s WHERE p_partkey % 5 < 2""",
+        FROM {part} CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) AS s""",
 }
 
 _NEEDS = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asofgraph.operators import graph, intervals
 from asofgraph.plans.domain import frame, oracle
+from asofgraph.session import stored
 
 YEARS = (1994, 1995, 1996, 1997, 1998, 1999, 2000, 2001, 2002, 2010)
 AS_OF = "1998-06-30 10:00:00"
@@ -63,8 +64,13 @@ def edge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return graph.conflicts(frame(spark, d, "evidence"), ("relationship_confidence", "economic_weight"))
 
 
+def signals_of(spark: SparkSession, d: str, returns: DataFrame) -> DataFrame:
+    """Neighbour signals on stored residuals, whose dates are stored as well, since several steps read them."""
+    return graph.diffusion_signals(_edges(spark, d), returns, stored(returns.select("date").distinct(), "calendar"))
+
+
 def signal_diffusion(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.diffusion_signals(_edges(spark, d), residuals(spark, d))
+    found = signals_of(spark, d, stored(residuals(spark, d), "residuals"))
     return found.withColumns({c: F.round(c, 6) for c in ("customer_shock", "supplier_shock")})
 
 
@@ -80,19 +86,19 @@ QUERIES = {
     "snapshot_asof": lambda s, d: graph.snapshot(_edges(s, d), _as_of()).select("supplier_id", "customer_id", "source_document_id", "effective_start", "relationship_confidence"),
     "listed_intervals": lambda s, d: graph.listed_intervals(_edges(s, d), frame(s, d, "security_master")).select("supplier_id", "customer_id", "source_document_id", "listed_start", "listed_end"),
     "active_edges_yearly": lambda s, d: graph.yearly_diagnostics(_edges(s, d), _years(s)).withColumn("median_age_days", F.round("median_age_days", 6)),
-    "consecutive_runs": lambda s, d: intervals.consecutive_runs(frame(s, d, "evidence").select((F.col("line") * 2 + F.col("supplier_id") % 3).alias("v")).filter("v % 7 < 4"), "v"),
+    "consecutive_runs": lambda s, d: intervals.consecutive_runs(frame(s, d, "evidence").select(F.datediff("publication_datetime", F.lit("1970-01-01")).alias("v")), "v"),
     "interval_overlaps": lambda s, d: intervals.overlaps(frame(s, d, "aliases"), ["alias"], "valid_from", "valid_to", inclusive=False).select("entity_id", "alias", "valid_from", "valid_to"),
     "degree": lambda s, d: graph.degrees(_edges(s, d)),
     "node_roles": lambda s, d: graph.roles(_edges(s, d)).groupBy("role").agg(F.count("*").alias("nodes")),
     "edge_age_buckets": lambda s, d: graph.age_buckets(graph.snapshot(_edges(s, d), _as_of(), collapse_pairs=False), _as_of()),
     "coverage_summary": lambda s, d: graph.coverage_summary(_mentions(s, d), _edges(s, d)).withColumns({c: F.round(c, 9) for c in ("explicit_rate", "resolved_rate")}),
     "yearly_disclosures": lambda s, d: graph.yearly_disclosures(_mentions(s, d)).withColumns({c: F.round(c, 9) for c in ("explicit_rate", "resolved_rate")}),
-    "source_documents": lambda s, d: graph.source_documents(_mentions(s, d).filter("source_document_id % 5 > 0"), _edges(s, d).filter("source_document_id % 7 > 0")),
-    "endpoint_diagnostics": lambda s, d: graph.endpoint_check(_edges(s, d), frame(s, d, "security_master").filter("security_id % 9 > 0").withColumn("listing_date", F.expr("CASE WHEN security_id % 8 > 0 THEN listing_date END"))),
+    "source_documents": lambda s, d: graph.source_documents(_mentions(s, d), _edges(s, d)),
+    "endpoint_diagnostics": lambda s, d: graph.endpoint_check(_edges(s, d), frame(s, d, "security_master").withColumn("listing_date", F.expr("CASE WHEN security_id % 8 > 0 THEN listing_date END"))),
     "industry_static": lambda s, d: graph.industry_static(_edges(s, d), frame(s, d, "security_master")),
     "industry_pit_share": lambda s, d: graph.industry_incidence(graph.snapshot(_edges(s, d), _as_of()), graph.industry_at(_history(s, d), F.to_date(_as_of()))).withColumn("share", F.round("share", 9)),
     "industry_pit_yearly": industry_pit_yearly,
-    "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d).filter("source_document_id % 11 > 0")),
+    "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d)),
     "gate_verdict": lambda s, d: graph.gate(graph.yearly_diagnostics(_edges(s, d), _years(s)), 100, 20, 3, 50.0),
     "signal_diffusion": signal_diffusion,
     "weak_components": lambda s, d: graph.weak_components(graph.snapshot(_edges(s, d), _as_of())),
@@ -118,7 +124,7 @@ ORACLE = {
       least(effective_end, CAST(a.delisting_date AS TIMESTAMP), CAST(b.delisting_date AS TIMESTAMP)) AS listed_end
       FROM edges e JOIN security_master a ON a.security_id = supplier_id JOIN security_master b ON b.security_id = customer_id) SELECT * FROM j WHERE listed_start < listed_end"""),
     "active_edges_yearly": oracle(["edges"], f"{_YEARLY} SELECT year, active_edges, connected_stocks, suppliers, customers, round(med, 6) AS median_age_days FROM yearly"),
-    "consecutive_runs": oracle(["evidence"], """n AS (SELECT DISTINCT line * 2 + supplier_id % 3 AS v FROM evidence WHERE (line * 2 + supplier_id % 3) % 7 < 4),
+    "consecutive_runs": oracle(["evidence"], """n AS (SELECT DISTINCT CAST(CAST(publication_datetime AS DATE) - DATE '1970-01-01' AS INTEGER) AS v FROM evidence),
       g AS (SELECT v, v - row_number() OVER (ORDER BY v) AS i FROM n) SELECT min(v) AS run_start, max(v) AS run_end, count(*) AS run_length FROM g GROUP BY i"""),
     "interval_overlaps": oracle(["aliases"], """w AS (SELECT *, max(valid_to) OVER e AS reach, max(CASE WHEN valid_to IS NULL THEN 1 ELSE 0 END) OVER e AS o FROM aliases
       WINDOW e AS (PARTITION BY alias ORDER BY valid_from NULLS FIRST, valid_to NULLS LAST, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -126,7 +132,7 @@ ORACLE = {
     "degree": oracle(["edges"], f"{_NODES} SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(1 - o) AS BIGINT) AS in_degree, count(DISTINCT other) AS total_degree FROM nodes GROUP BY node"),
     "node_roles": oracle(["edges"], f"{_NODES}, r AS (SELECT node, CASE WHEN max(o) = 1 AND min(o) = 0 THEN 'both' WHEN max(o) = 1 THEN 'supplier' ELSE 'customer' END AS role FROM nodes GROUP BY node) SELECT role, count(*) AS nodes FROM r GROUP BY role"),
     "edge_age_buckets": oracle(["edges"], f"""a AS (SELECT (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(effective_start)) / 86400000000.0 AS age FROM edges
-      WHERE effective_start <= TIMESTAMP '{AS_OF}' AND effective_end > TIMESTAMP '{AS_OF}' AND effective_start > TIMESTAMP '1997-12-01'),
+      WHERE effective_start <= TIMESTAMP '{AS_OF}' AND effective_end > TIMESTAMP '{AS_OF}'),
       b AS (SELECT CASE WHEN age <= 90 THEN '0-90' WHEN age <= 180 THEN '91-180' WHEN age <= 365 THEN '181-365' ELSE '366+' END AS bucket, count(*) AS n FROM a GROUP BY 1)
       SELECT d.bucket, coalesce(n, 0) AS edge_count FROM (VALUES ('0-90'), ('91-180'), ('181-365'), ('366+')) AS d(bucket) LEFT JOIN b ON b.bucket = d.bucket"""),
     "coverage_summary": oracle(["edges"], _MENTIONS + """, a AS (SELECT count(*) AS mentions, count(*) FILTER (name_class = 'named') AS explicit_mentions, count(*) FILTER (resolution_status = 'resolved') AS resolved_mentions,
@@ -136,12 +142,12 @@ ORACLE = {
       SELECT *, round(explicit_mentions / nullif(mentions, 0), 9) AS explicit_rate, round(resolved_mentions / nullif(explicit_mentions, 0), 9) AS resolved_rate FROM a, p, n"""),
     "yearly_disclosures": oracle(["evidence"], _MENTIONS + """, c AS (SELECT CAST(year(publication_datetime + INTERVAL 8 HOUR) AS INTEGER) AS year, count(*) AS mentions, count(*) FILTER (name_class = 'named') AS explicit_mentions, count(*) FILTER (resolution_status = 'resolved') AS resolved_mentions FROM m GROUP BY 1)
       SELECT *, round(explicit_mentions / nullif(mentions, 0), 9) AS explicit_rate, round(resolved_mentions / nullif(explicit_mentions, 0), 9) AS resolved_rate FROM c"""),
-    "source_documents": oracle(["edges"], _MENTIONS + """, a AS (SELECT source_document_id, count(*) AS mention_count, count(DISTINCT counterparty_raw_name) AS name_count FROM m WHERE source_document_id % 5 > 0 GROUP BY 1),
-      b AS (SELECT source_document_id, count(DISTINCT (supplier_id, customer_id)) AS pair_count FROM edges WHERE source_document_id % 7 > 0 GROUP BY 1)
+    "source_documents": oracle(["edges"], _MENTIONS + """, a AS (SELECT source_document_id, count(*) AS mention_count, count(DISTINCT counterparty_raw_name) AS name_count FROM m GROUP BY 1),
+      b AS (SELECT source_document_id, count(DISTINCT (supplier_id, customer_id)) AS pair_count FROM edges GROUP BY 1)
       SELECT source_document_id, coalesce(mention_count, 0) AS mention_count, coalesce(name_count, 0) AS name_count, coalesce(pair_count, 0) AS pair_count FROM a FULL JOIN b USING (source_document_id)"""),
     "endpoint_diagnostics": oracle(["edges", "security_master"], """n AS (SELECT supplier_id AS id FROM edges UNION SELECT customer_id FROM edges)
       SELECT count(*) AS endpoints, count(*) FILTER (security_id IS NULL) AS absent, count(*) FILTER (security_id % 8 = 0) AS unlisted
-      FROM n LEFT JOIN (SELECT * FROM security_master WHERE security_id % 9 > 0) ON id = security_id"""),
+      FROM n LEFT JOIN security_master ON id = security_id"""),
     "industry_static": oracle(["edges", "security_master"], """n AS (SELECT supplier_id AS id FROM edges UNION SELECT customer_id FROM edges)
       SELECT industry_code, count(*) AS node_count FROM n LEFT JOIN security_master ON id = security_id GROUP BY industry_code"""),
     "industry_pit_share": oracle(["edges", "security_master"], f"""{_SNAP}, {_HISTORY},
@@ -159,7 +165,7 @@ ORACLE = {
       UNION ALL SELECT 'beyond_maximum_age', count(*) FILTER (epoch_us(effective_end) - epoch_us(effective_start) > 550 * 86400000000) FROM edges
       UNION ALL SELECT 'self_edges', count(*) FILTER (supplier_id = customer_id) FROM edges UNION ALL SELECT 'missing_provenance', count(*) FILTER (source_document_id IS NULL) FROM edges
       UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT 1 FROM edges GROUP BY supplier_id, customer_id, source_document_id HAVING count(*) > 1)
-      UNION ALL SELECT 'documents_without_mentions', count(DISTINCT source_document_id) FROM edges WHERE source_document_id NOT IN (SELECT source_document_id FROM evidence WHERE source_document_id % 11 > 0)"""),
+      UNION ALL SELECT 'documents_without_mentions', count(DISTINCT source_document_id) FROM edges WHERE source_document_id NOT IN (SELECT source_document_id FROM evidence)"""),
     "gate_verdict": oracle(["edges"], f"""{_YEARLY}, g AS (SELECT year, year - row_number() OVER (ORDER BY year) AS i FROM yearly WHERE active_edges >= 100 AND connected_stocks >= 20),
       r AS (SELECT (SELECT count(*) FROM g) AS usable_years, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM g GROUP BY i)) AS longest_run, (SELECT median(active_edges) FROM yearly) AS median_active_edges)
       SELECT *, longest_run >= 3 AND median_active_edges >= 50 AS passed, CASE WHEN longest_run >= 3 AND median_active_edges >= 50 THEN 'FEASIBLE' ELSE 'INFEASIBLE_DATA' END AS outcome FROM r"""),
@@ -169,6 +175,6 @@ ORACLE = {
       SELECT b.date, b.security_id, round(avg(residual_return) FILTER (c), 6) AS customer_shock, round(avg(residual_return) FILTER (NOT c), 6) AS supplier_shock,
       count(residual_return) FILTER (c) AS customer_neighbor_count, count(residual_return) FILTER (NOT c) AS supplier_neighbor_count, b.date AS graph_snapshot_date
       FROM b LEFT JOIN r ON r.date = b.date AND r.security_id = other GROUP BY b.date, b.security_id"""),
-    "weak_components": oracle(["edges"], f"""{_SNAP.replace("FROM edges WHERE", "FROM edges WHERE customer_id % 3 = supplier_id % 3 AND")}, p AS (SELECT supplier_id AS a, customer_id AS b FROM snap UNION SELECT customer_id, supplier_id FROM snap),
+    "weak_components": oracle(["edges"], f"""{_SNAP}, p AS (SELECT supplier_id AS a, customer_id AS b FROM snap UNION SELECT customer_id, supplier_id FROM snap),
       reach AS (SELECT a AS node, a AS top FROM p UNION SELECT node, b FROM reach JOIN p ON a = top) SELECT node, min(top) AS component FROM reach GROUP BY node"""),
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asofgraph.operators import graph, market, portfolio, residuals, statistics
 from asofgraph.plans import graph_queries
 from asofgraph.plans.domain import frame, oracle
+from asofgraph.session import stored
 
 WINDOW, LEAST = 26, 12
 FEES = "(VALUES ('stamp_tax', 'sell', DATE '1990-01-01', DATE '1998-12-31', 0.001), ('stamp_tax', 'sell', DATE '1999-01-01', DATE '2099-12-31', 0.0005), ('handling', 'both', DATE '1990-01-01', DATE '2099-12-31', 0.00005))"
@@ -40,6 +41,13 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.quantile_weights(_signals(spark, d), "customer_shock")
 
 
+def trading_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(panel, calendar), stored: several steps read each of them."""
+    quotes = stored(frame(spark, d, "quotes"), "quotes")
+    calendar = stored(quotes.select("date").distinct(), "calendar")
+    return stored(market.build_panel(frame(spark, d, "security_master"), calendar, quotes, frame(spark, d, "actions"), frame(spark, d, "limit_rules")), "panel"), calendar
+
+
 def _fees(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT kind, side, valid_from, valid_to, CAST(rate AS DOUBLE) AS rate FROM {FEES} AS f(kind, side, valid_from, valid_to, rate)")
 
@@ -48,8 +56,15 @@ def _settlement(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {SETTLEMENT} AS s(valid_from, valid_to, offset)")
 
 
-def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return portfolio.round_trips(_weights(spark, d), panel(spark, d), frame(spark, d, "calendar"), _fees(spark), _settlement(spark), hold=2, least_amount=20000.0)
+def _trades(spark: SparkSession, d: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    held, calendar = tables or trading_tables(spark, d)
+    return portfolio.round_trips(stored(_weights(spark, d), "weights"), held, calendar, _fees(spark), _settlement(spark), hold=2, least_amount=20000.0)
+
+
+def daily_pnl(spark: SparkSession, d: str) -> DataFrame:
+    tables = trading_tables(spark, d)
+    found = portfolio.daily_pnl(_trades(spark, d, tables), tables[1])
+    return _rounded(found, 11, "gross_pnl", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl", "turnover", "gross_exposure", "net_exposure")
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -57,7 +72,9 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 
 def _ic(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.information_coefficients(_signals(spark, d), graph_queries.residuals(spark, d))
+    returns = stored(graph_queries.residuals(spark, d), "residuals")
+    signals = graph_queries.signals_of(spark, d, returns).select("date", "security_id", F.round("customer_shock", 6).alias("customer_shock"))
+    return statistics.information_coefficients(signals, returns)
 
 
 def forward_ic(spark: SparkSession, d: str) -> DataFrame:
@@ -78,11 +95,23 @@ def _yearly(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "evidence").groupBy(F.year("publication_datetime").alias("year")).agg(F.count("*").alias("n"))
 
 
+def _by_line(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly counts of evidence for each line number."""
+    return frame(spark, d, "evidence").groupBy("line", F.year("publication_datetime").alias("year")).agg(F.count("*").alias("n"))
+
+
 def holm(spark: SparkSession, d: str) -> DataFrame:
-    tests = _yearly(spark, d).select(F.col("year").alias("test"), (F.col("n") % 97 / 1000.0).cast("double").alias("p"))
+    """Sign tests of each line number's yearly changes, adjusted."""
+    change = F.signum(F.col("n") - F.lag("n").over(Window.partitionBy("line").orderBy("year")))
+    counts = _by_line(spark, d).withColumn("s", change).groupBy(F.col("line").alias("test")).agg(F.count_if(F.col("s") > 0).alias("up"), F.count_if(F.col("s") < 0).alias("down"))
+    tests = counts.select("test", statistics.sign_test(F.col("up"), F.col("down")).alias("p"))
     return _rounded(statistics.holm(tests, "p"), 9, "p", "holm_p")
 
 
+def permutation_p(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(statistics.trend_tests(_by_line(spark, d), "line", "year", "n"), 12, "p")
+
+
 def concentration(spark: SparkSession, d: str) -> DataFrame:
     found = statistics.concentration(graph.degrees(graph_queries._edges(spark, d)), "total_degree")
     return _rounded(found, 9, *found.columns)
@@ -106,12 +135,13 @@ QUERIES = {
     "market_return": lambda s, d: _rounded(residuals.market_returns(_returns(s, d)), 6, "market_return"),
     "leave_one_out": lambda s, d: _rounded(residuals.leave_one_out(_returns(s, d), _history(s, d)), 6, "industry_return"),
     "rolling_beta": lambda s, d: _rounded(_residuals(s, d, industry=False).select("date", "security_id", "beta_market", "beta_observation_count", "beta_window_start", "beta_window_end"), 4, "beta_market"),
-    "residual_returns": lambda s, d: _rounded(_residuals(s, d).select("date", "security_id", "residual_return", "beta_market", "beta_industry", "residual_model"), 4, "residual_return", "beta_market", "beta_industry"),
+    "residual_returns": lambda s, d: _rounded(_residuals(s, d).select("date", "security_id", "residual_return", "beta_market", "beta_industry", "beta_window_start", "beta_window_end", "residual_model"), 4, "residual_return", "beta_market", "beta_industry"),
     "forward_ic": forward_ic,
     "newey_west": newey_west,
     "wilson": wilson,
     "trend": lambda s, d: _rounded(statistics.trend(_yearly(s, d), "year", "n"), 9, "theil_sen", "kendall_tau"),
     "holm": holm,
+    "permutation_p": permutation_p,
     "concentration": concentration,
     "bootstrap": bootstrap,
     "placebo": placebo,
@@ -122,7 +152,7 @@ QUERIES = {
         "signal_date", "security_id", "status", "entry_block_reason", "entry_date", "scheduled_exit_date", "exit_date", "exit_defer_count", "holding_period_trading_days", "gross_pnl"), 9, "gross_pnl"),
     "trade_costs": lambda s, d: _rounded(_trades(s, d).select("signal_date", "security_id", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl"), 9,
                                          "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl"),
-    "daily_pnl": lambda s, d: _rounded(portfolio.daily_pnl(_trades(s, d), frame(s, d, "calendar")), 11, "gross_pnl", "commission_cost", "slippage_cost", "stamp_tax_cost", "venue_fee_cost", "total_cost", "net_pnl", "turnover", "gross_exposure", "net_exposure"),
+    "daily_pnl": daily_pnl,
 }
 
 _GRID = """cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM calendar),
@@ -139,9 +169,9 @@ _PANEL = f"""{_GRID},
   l AS (SELECT *, CASE WHEN listing_age >= ipo_days THEN floor(ref * (1 + rate) * 100 + 0.5 + 1e-12) / 100 END AS upper_limit, CASE WHEN listing_age >= ipo_days THEN floor(ref * (1 - rate) * 100 + 0.5 + 1e-12) / 100 END AS lower_limit FROM k),
   s AS (SELECT *, has_market_data AND coalesce(abs(close - upper_limit) <= 1e-9, false) AS limit_up, has_market_data AND coalesce(abs(close - lower_limit) <= 1e-9, false) AS limit_down FROM l),
   panel AS (SELECT *, CASE WHEN suspended THEN 'suspended' WHEN limit_down THEN 'limit_down' WHEN limit_up THEN 'limit_up' WHEN has_market_data AND upper_limit IS NOT NULL THEN 'normal' WHEN has_market_data THEN 'no_limit' ELSE 'unavailable' END AS price_state,
-    (limit_up OR limit_down) AND coalesce(open = close AND high = close AND low = close, false) AS locked,
+    (limit_up OR limit_down) AND coalesce(abs(open - close) <= 1e-9 AND abs(high - close) <= 1e-9 AND abs(low - close) <= 1e-9, false) AS locked,
     has_market_data AND coalesce(close > upper_limit + 1e-9 OR close < lower_limit - 1e-9, false) AS beyond_limit FROM s),
-  panel2 AS (SELECT *, has_market_data AND NOT suspended AND NOT locked AS tradable FROM panel)"""
+  panel2 AS (SELECT *, has_market_data AND NOT suspended AND NOT locked AND coalesce(volume > 0 AND amount > 0, false) AS tradable FROM panel)"""
 _PANEL_TABLES = ["security_master", "calendar", "quotes", "actions", "limit_rules"]
 _RET = "ret AS (SELECT date, security_id, CASE WHEN is_suspended THEN NULL ELSE raw_return END AS y FROM returns)"
 _MKT = f"{_RET}, mkt AS (SELECT date, avg(y) AS m FROM ret GROUP BY date)"
@@ -153,13 +183,14 @@ _FIT = f"""{_MKT}, {_LOO}, ids AS (SELECT DISTINCT security_id FROM ret),
   grid AS (SELECT mkt.date, ids.security_id, y, m, USEIND AS i, ret.date IS NOT NULL AS inp FROM mkt CROSS JOIN ids LEFT JOIN ret ON ret.date = mkt.date AND ret.security_id = ids.security_id LEFT JOIN loo ON loo.date = mkt.date AND loo.security_id = ids.security_id),
   w AS (SELECT *, count(*) FILTER (y IS NOT NULL AND m IS NOT NULL) OVER x AS n1, sum(y) FILTER (m IS NOT NULL) OVER x AS y1, sum(m) FILTER (y IS NOT NULL) OVER x AS m1, sum(m * m) FILTER (y IS NOT NULL) OVER x AS mm1, sum(m * y) OVER x AS my1,
     min(date) FILTER (y IS NOT NULL AND m IS NOT NULL) OVER x AS d0, max(date) FILTER (y IS NOT NULL AND m IS NOT NULL) OVER x AS d1,
+    min(date) FILTER (y IS NOT NULL AND m IS NOT NULL AND i IS NOT NULL) OVER x AS e0, max(date) FILTER (y IS NOT NULL AND m IS NOT NULL AND i IS NOT NULL) OVER x AS e1,
     count(*) FILTER (y IS NOT NULL AND m IS NOT NULL AND i IS NOT NULL) OVER x AS n2, sum(y) FILTER (m IS NOT NULL AND i IS NOT NULL) OVER x AS y2, sum(m) FILTER (y IS NOT NULL AND i IS NOT NULL) OVER x AS m2, sum(i) FILTER (y IS NOT NULL AND m IS NOT NULL) OVER x AS i2,
     sum(m * m) FILTER (y IS NOT NULL AND i IS NOT NULL) OVER x AS mm2, sum(i * i) FILTER (y IS NOT NULL AND m IS NOT NULL) OVER x AS ii2, sum(m * i) FILTER (y IS NOT NULL) OVER x AS mi2, sum(m * y) FILTER (i IS NOT NULL) OVER x AS my2, sum(i * y) FILTER (m IS NOT NULL) OVER x AS iy2
     FROM grid WINDOW x AS (PARTITION BY security_id ORDER BY date ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)),
   c AS (SELECT *, mm1 - m1 * m1 / nullif(n1, 0) AS smm, my1 - m1 * y1 / nullif(n1, 0) AS smy, mm2 - m2 * m2 / nullif(n2, 0) AS tmm, ii2 - i2 * i2 / nullif(n2, 0) AS tii, mi2 - m2 * i2 / nullif(n2, 0) AS tmi, my2 - m2 * y2 / nullif(n2, 0) AS tmy, iy2 - i2 * y2 / nullif(n2, 0) AS tiy FROM w),
   b AS (SELECT *, CASE WHEN n1 >= {LEAST} AND abs(smm) > 1e-18 THEN smy / smm END AS b1, coalesce(n2 >= {LEAST} AND abs(tmm * tii - tmi * tmi) > 1e-14 * greatest(1.0, abs(tmm) * abs(tii)), false) AS ok2 FROM c),
   f AS (SELECT *, ok2 AND i IS NOT NULL AS u, (tmy * tii - tiy * tmi) / (tmm * tii - tmi * tmi) AS bm, (tiy * tmm - tmy * tmi) / (tmm * tii - tmi * tmi) AS bi FROM b),
-  fit AS (SELECT date, security_id, CASE WHEN u THEN bm ELSE b1 END AS beta_market, CASE WHEN u THEN bi END AS beta_industry, CASE WHEN u THEN n2 ELSE CASE WHEN d0 IS NOT NULL THEN n1 END END AS n, d0, d1,
+  fit AS (SELECT date, security_id, CASE WHEN u THEN bm ELSE b1 END AS beta_market, CASE WHEN u THEN bi END AS beta_industry, CASE WHEN u THEN n2 ELSE CASE WHEN d0 IS NOT NULL THEN n1 END END AS n, CASE WHEN u THEN e0 ELSE d0 END AS d0, CASE WHEN u THEN e1 ELSE d1 END AS d1,
     CASE WHEN u THEN y - ((y2 - bm * m2 - bi * i2) / n2 + bm * m + bi * i) ELSE y - ((y1 - b1 * m1) / n1 + b1 * m) END AS residual_return, CASE WHEN u THEN 'market_plus_pit_industry' ELSE 'market_only' END AS residual_model FROM f WHERE inp)"""
 _SIG = """r AS (SELECT date, security_id, CASE WHEN is_suspended THEN NULL ELSE raw_return END AS residual_return FROM returns), dd AS (SELECT DISTINCT date, CAST(date AS TIMESTAMP) + INTERVAL 7 HOUR AS close_at FROM r),
   aa AS (SELECT DISTINCT date, supplier_id, customer_id FROM edges JOIN dd ON effective_start <= close_at AND effective_end > close_at),
@@ -195,15 +226,17 @@ ORACLE = {
     "prev_close_return": oracle(_PANEL_TABLES, f"{_PANEL} SELECT date, security_id, previous_close, round(raw_return, 6) + 0.0 AS raw_return FROM panel2"),
     "price_limit_state": oracle(_PANEL_TABLES, f"{_PANEL} SELECT date, security_id, upper_limit, lower_limit, limit_up, limit_down, price_state FROM panel2"),
     "tradable_panel": oracle(_PANEL_TABLES, f"{_PANEL} SELECT date, security_id, has_market_data, suspended, locked, tradable, beyond_limit FROM panel2"),
-    "price_violations": oracle(["quotes"], """v AS (SELECT open, close, amount, CASE WHEN security_id % 17 = 3 THEN -volume ELSE volume END AS volume FROM quotes)
+    "price_violations": oracle(["quotes"], """v AS (SELECT open, close, high, low, amount, CASE WHEN security_id % 17 = 3 THEN -volume ELSE volume END AS volume FROM quotes)
       SELECT 'open_not_finite' AS rule, count(*) FILTER (NOT isfinite(open)) AS violations FROM v UNION ALL SELECT 'close_not_finite', count(*) FILTER (NOT isfinite(close)) FROM v
       UNION ALL SELECT 'volume_not_finite', count(*) FILTER (NOT isfinite(volume)) FROM v UNION ALL SELECT 'amount_not_finite', count(*) FILTER (NOT isfinite(amount)) FROM v
+      UNION ALL SELECT 'high_not_finite', count(*) FILTER (NOT isfinite(high)) FROM v UNION ALL SELECT 'low_not_finite', count(*) FILTER (NOT isfinite(low)) FROM v
+      UNION ALL SELECT 'high_not_positive', count(*) FILTER (high <= 0) FROM v UNION ALL SELECT 'low_not_positive', count(*) FILTER (low <= 0) FROM v
       UNION ALL SELECT 'open_not_positive', count(*) FILTER (open <= 0) FROM v UNION ALL SELECT 'close_not_positive', count(*) FILTER (close <= 0) FROM v
       UNION ALL SELECT 'volume_negative', count(*) FILTER (volume < 0) FROM v UNION ALL SELECT 'amount_negative', count(*) FILTER (amount < 0) FROM v"""),
     "market_return": oracle(["returns"], f"{_MKT} SELECT date, round(m, 6) + 0.0 AS market_return FROM mkt"),
     "leave_one_out": oracle(["returns", "security_master"], f"{_RET}, {_LOO} SELECT date, security_id, industry_code, industry_peer_count, round(ind, 6) + 0.0 AS industry_return FROM loo"),
     "rolling_beta": oracle(["returns", "security_master"], _FIT.replace("USEIND", "CAST(NULL AS DOUBLE)") + " SELECT date, security_id, round(beta_market, 4) + 0.0 AS beta_market, n AS beta_observation_count, d0 AS beta_window_start, d1 AS beta_window_end FROM fit"),
-    "residual_returns": oracle(["returns", "security_master"], _FIT.replace("USEIND", "ind") + " SELECT date, security_id, round(residual_return, 4) + 0.0 AS residual_return, round(beta_market, 4) + 0.0 AS beta_market, round(beta_industry, 4) + 0.0 AS beta_industry, residual_model FROM fit"),
+    "residual_returns": oracle(["returns", "security_master"], _FIT.replace("USEIND", "ind") + " SELECT date, security_id, round(residual_return, 4) + 0.0 AS residual_return, round(beta_market, 4) + 0.0 AS beta_market, round(beta_industry, 4) + 0.0 AS beta_industry, d0 AS beta_window_start, d1 AS beta_window_end, residual_model FROM fit"),
     "forward_ic": oracle(["edges", "returns"], f"""{_SIG}, fd AS (SELECT date, lead(date) OVER (ORDER BY date) AS f FROM (SELECT DISTINCT date FROM r)),
       al AS (SELECT sig.date, f, v, residual_return AS y FROM sig JOIN fd ON fd.date = sig.date JOIN r ON r.date = f AND r.security_id = sig.security_id WHERE v IS NOT NULL AND residual_return IS NOT NULL),
       rk AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS ry FROM al)
@@ -216,7 +249,9 @@ ORACLE = {
       SELECT line, n, k, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) + 0.0 AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) + 0.0 AS high FROM p"""),
     "trend": oracle(["evidence"], """y AS (SELECT year(publication_datetime) AS x, count(*) AS n FROM evidence GROUP BY 1), p AS (SELECT (b.n - a.n) / (b.x - a.x) AS s, sign(b.n - a.n) AS g FROM y a JOIN y b ON a.x < b.x)
       SELECT round(median(s), 9) + 0.0 AS theil_sen, round(sum(g) / sqrt(count(*) * count(*) FILTER (g <> 0)), 9) + 0.0 AS kendall_tau FROM p"""),
-    "holm": oracle(["evidence"], """t AS (SELECT CAST(year(publication_datetime) AS INTEGER) AS test, CAST((count(*) % 97) / 1000.0 AS DOUBLE) AS p FROM evidence GROUP BY 1),
+    "holm": oracle(["evidence"], """y AS (SELECT line, year(publication_datetime) AS year, count(*) AS n FROM evidence GROUP BY 1, 2), c AS (SELECT line, sign(n - lag(n) OVER (PARTITION BY line ORDER BY year)) AS g FROM y),
+      k AS (SELECT line AS test, count(*) FILTER (g > 0) AS u, count(*) FILTER (g < 0) AS w FROM c GROUP BY 1),
+      t AS (SELECT test, CAST(least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(u, w) + 1 AS BIGINT)), lambda i: factorial(CAST(u + w AS INTEGER))::DOUBLE / (factorial(CAST(i AS INTEGER))::DOUBLE * factorial(CAST(u + w - i AS INTEGER))::DOUBLE))) / pow(2, u + w)) AS DOUBLE) AS p FROM k),
       s AS (SELECT *, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1)) AS sc FROM t) SELECT test, round(p, 9) + 0.0 AS p, round(max(sc) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING), 9) + 0.0 AS holm_p FROM s"""),
     "concentration": oracle(["edges"], f"""{graph_queries._NODES}, d AS (SELECT CAST(count(DISTINCT other) AS DOUBLE) AS v FROM nodes GROUP BY node), r AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM d),
       a AS (SELECT count(*) AS n, sum(v) AS s, sum(v * v) AS q, sum(i * v) AS w, max(v) AS largest, quantile_cont(v, 0.9) AS p90, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM r)

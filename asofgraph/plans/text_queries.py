@@ -85,7 +85,7 @@ def section_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def timing_mismatches(spark: SparkSession, d: str) -> DataFrame:
     mentions = frame(spark, d, "mentions").select("source_document_id", "source_company_id", F.to_date("publication_datetime").alias("day"))
-    documents = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 13 > 0").select(F.col("o_orderkey").alias("source_document_id"), F.date_add(F.to_date("o_orderdate"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END")).alias("day"))
+    documents = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("source_document_id"), F.date_add(F.to_date("o_orderdate"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END")).alias("day"))
     return quality.timing_mismatches(mentions, documents, ["day"])
 
 
@@ -95,9 +95,9 @@ QUERIES = {
     "board_derivation": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", names.board_of(names.clean_ticker(F.col("c_custkey") * 677)).alias("board")),
     "alias_asof": alias_asof,
     "resolution_ladder": _audit,
-    "attach_resolution": lambda s, d: resolve.attach_resolution(frame(s, d, "mentions"), _audit(s, d).filter("source_document_id % 9 > 0")).groupBy("matched", "resolution_status").agg(F.count("*").alias("n")),
-    "audit_alignment": lambda s, d: resolve.alignment(frame(s, d, "mentions").filter("source_document_id % 8 > 0"), frame(s, d, "mentions").filter("source_document_id % 9 > 0")),
-    "key_difference": lambda s, d: quality.key_difference(frame(s, d, "mentions").filter("source_company_id % 3 > 0"), frame(s, d, "mentions").filter("source_company_id % 4 > 0"), ["source_document_id"]),
+    "attach_resolution": lambda s, d: resolve.attach_resolution(frame(s, d, "mentions"), _audit(s, d)).groupBy("matched", "resolution_status").agg(F.count("*").alias("n")),
+    "audit_alignment": lambda s, d: resolve.alignment(frame(s, d, "mentions"), _audit(s, d)),
+    "key_difference": lambda s, d: quality.key_difference(frame(s, d, "evidence"), s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("source_document_id")), ["source_document_id"]),
     "fuzzy_top2": fuzzy_top2,
     "candidate_extract": candidate_extract,
     "org_reconcile": org_reconcile,
@@ -124,7 +124,9 @@ _AUDIT = f"""k AS (SELECT source_document_id, source_company_id, counterparty_ra
   al AS (SELECT *, {_norm('alias')} AS nn FROM aliases),
   cd AS (SELECT normalized_name, day, count(DISTINCT entity_id) AS candidate_count, min(entity_id) AS entity_id FROM (SELECT DISTINCT normalized_name, day FROM nk WHERE name_class = 'named') q JOIN al ON nn = normalized_name AND valid_from <= day AND (valid_to IS NULL OR day < valid_to) GROUP BY 1, 2),
   ov AS (SELECT * FROM (VALUES ('redwidget', 7), ('smallflange', 3)) AS o(nn, oid)),
-  audit AS (SELECT source_document_id, source_company_id, counterparty_raw_name, nk.normalized_name, name_class,
+  audit AS (SELECT source_document_id, source_company_id, counterparty_raw_name, CASE WHEN name_class = 'named' THEN nk.normalized_name END AS normalized_name, name_class,
+    CASE WHEN name_class = 'anonymous' THEN 'anonymous_label_blocked_by_rule' WHEN candidate_count = 1 THEN 'exact_alias_valid_at_publication' WHEN oid IS NOT NULL THEN 'version_controlled_manual_override'
+      WHEN candidate_count > 1 THEN 'ambiguous_exact_alias_not_auto_resolved' ELSE 'no_reproducible_candidate_passed_thresholds' END AS notes,
     CASE WHEN name_class = 'anonymous' THEN NULL WHEN candidate_count = 1 THEN entity_id ELSE oid END AS resolved_entity_id,
     CASE WHEN name_class = 'anonymous' THEN 'blocked_anonymous' WHEN candidate_count = 1 THEN 'exact_alias' WHEN oid IS NOT NULL THEN 'manual_override' WHEN candidate_count > 1 THEN 'exact_alias_collision' ELSE 'none' END AS resolution_method,
     CASE WHEN name_class = 'anonymous' THEN 0.0 WHEN candidate_count = 1 OR oid IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS resolution_confidence,
@@ -139,10 +141,10 @@ ORACLE = {
     "alias_asof": oracle(["mentions", "aliases"], f"""n AS (SELECT DISTINCT {_norm('counterparty_raw_name')} AS normalized_name, CAST(publication_datetime + INTERVAL 8 HOUR AS DATE) AS day FROM mentions), al AS (SELECT *, {_norm('alias')} AS nn FROM aliases)
       SELECT normalized_name, day, count(DISTINCT entity_id) AS candidate_count, min(entity_id) AS entity_id FROM n JOIN al ON nn = normalized_name AND valid_from <= day AND (valid_to IS NULL OR day < valid_to) GROUP BY 1, 2"""),
     "resolution_ladder": oracle(["mentions", "aliases"], f"{_AUDIT} SELECT * FROM audit"),
-    "attach_resolution": oracle(["mentions", "aliases"], f"{_AUDIT} SELECT a.source_document_id IS NOT NULL AS matched, resolution_status, count(*) AS n FROM mentions m LEFT JOIN (SELECT * FROM audit WHERE source_document_id % 9 > 0) a ON a.source_document_id = m.source_document_id AND a.source_company_id = m.source_company_id AND a.counterparty_raw_name = m.counterparty_raw_name GROUP BY 1, 2"),
-    "audit_alignment": oracle(["mentions"], """a AS (SELECT DISTINCT source_document_id, source_company_id, counterparty_raw_name FROM mentions WHERE source_document_id % 8 > 0), b AS (SELECT DISTINCT source_document_id, source_company_id, counterparty_raw_name FROM mentions WHERE source_document_id % 9 > 0)
+    "attach_resolution": oracle(["mentions", "aliases"], f"{_AUDIT} SELECT a.source_document_id IS NOT NULL AS matched, resolution_status, count(*) AS n FROM mentions m LEFT JOIN audit a ON a.source_document_id = m.source_document_id AND a.source_company_id = m.source_company_id AND a.counterparty_raw_name = m.counterparty_raw_name GROUP BY 1, 2"),
+    "audit_alignment": oracle(["mentions", "aliases"], _AUDIT + """, a AS (SELECT DISTINCT source_document_id, source_company_id, counterparty_raw_name FROM mentions), b AS (SELECT DISTINCT source_document_id, source_company_id, counterparty_raw_name FROM audit)
       SELECT *, 'audit' AS missing_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'mentions' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""),
-    "key_difference": oracle(["mentions"], """a AS (SELECT DISTINCT source_document_id FROM mentions WHERE source_company_id % 3 > 0), b AS (SELECT DISTINCT source_document_id FROM mentions WHERE source_company_id % 4 > 0)
+    "key_difference": oracle(["evidence"], """a AS (SELECT DISTINCT source_document_id FROM evidence), b AS (SELECT DISTINCT o_orderkey AS source_document_id FROM orders)
       SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""),
     "candidate_extract": "SELECT c_custkey, 'customer' AS relation, c_name AS name FROM customer UNION ALL SELECT c_custkey, 'supplier', 'S-' || c_mktsegment FROM customer",
     "org_reconcile": oracle(["security_master"], """c AS (SELECT s_suppkey % 60 AS org_id, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1)
@@ -171,6 +173,6 @@ ORACLE = {
     "mention_dedup": oracle(["mentions"], "SELECT source_company_id, counterparty_raw_name, relationship_type, min(evidence_text) AS evidence_text, CASE WHEN count(DISTINCT exposure_share) = 1 THEN max(exposure_share) END AS exposure_share, count(*) AS row_count FROM mentions GROUP BY 1, 2, 3"),
     "section_coverage": oracle(["mentions"], """c AS (SELECT DISTINCT source_document_id FROM mentions WHERE relationship_type = 'customer') SELECT count(DISTINCT o_orderkey) AS captured, count(DISTINCT source_document_id) AS with_section,
       round(count(DISTINCT source_document_id) / count(DISTINCT o_orderkey), 9) AS rate FROM orders LEFT JOIN c ON source_document_id = o_orderkey"""),
-    "timing_mismatches": oracle(["mentions"], """d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS od FROM orders WHERE o_orderkey % 13 > 0)
+    "timing_mismatches": oracle(["mentions"], """d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS od FROM orders)
       SELECT source_document_id, source_company_id, CAST(publication_datetime AS DATE) AS day FROM mentions LEFT JOIN d ON o_orderkey = source_document_id WHERE od IS NULL OR od <> CAST(publication_datetime AS DATE)"""),
 }
