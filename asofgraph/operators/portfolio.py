@@ -57,7 +57,7 @@ def fills(panel: DataFrame, calendar: DataFrame, least_amount: float, dates: Dat
     cells = panel.select("security_id").distinct().crossJoin(F.broadcast(numbered(calendar) if dates is None else dates))
     rows = cells.join(panel.select("date", "security_id", "open", "amount", "tradable", "suspended", "limit_up", "limit_down", F.lit(True).alias("present")), ["date", "security_id"], "left")
     rows = rows.withColumns({"buy_reason": block_reason("buy", least_amount), "sell_reason": block_reason("sell", least_amount)})
-    ahead = Window.partitionBy("security_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("security_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)  # backwards in time, so each row adds to a running minimum
     fill = F.struct("pos", "date", "open")
     rows = rows.withColumns({f"{s}_fill": F.min(F.when(F.col(f"{s}_reason").isNull(), fill)).over(ahead) for s in ("buy", "sell")})
     return rows.withColumns({f"next_{s}": F.col(f"{s}_fill.pos") for s in ("buy", "sell")})

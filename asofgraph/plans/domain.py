@@ -82,11 +82,11 @@ _NEEDS = {
 }
 
 
-def _closure(names: Iterable[str]) -> list[str]:
+def _closure(names: Iterable[str], given: Iterable[str] = ()) -> list[str]:
     found: list[str] = []
 
     def visit(name: str) -> None:
-        for below in _NEEDS[name]:
+        for below in () if name in given else _NEEDS[name]:
             visit(below)
         if name not in found:
             found.append(name)
@@ -95,17 +95,18 @@ def _closure(names: Iterable[str]) -> list[str]:
     return found
 
 
-def with_clause(names: Iterable[str], tables: dict[str, str] | None = None, duck: bool = True) -> str:
-    """``name AS (...), ...`` for the named entries and all they need."""
+def with_clause(names: Iterable[str], tables: dict[str, str] | None = None, duck: bool = True, given: dict[str, DataFrame] | None = None) -> str:
+    """``name AS (...), ...`` for the named entries and all they need; ``given`` ones are read where they are stored."""
     tables = tables or {b: b for b in BASE}
-    text = ",\n".join(f"{n} AS ({CTES[n].format(**tables)})" for n in _closure(names))
+    given = given or {}
+    text = ",\n".join(f"{n} AS ({f'SELECT * FROM parquet.`{given[n].stored_at}`' if n in given else CTES[n].format(**tables)})" for n in _closure(names, given))
     return text.replace("date_add(", "_add_days(") if duck else text
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table over the Parquet files of ``sf_dir``."""
+def frame(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A domain table over the Parquet files of ``sf_dir``; entries that are stored already may be given."""
     tables = {b: f"parquet.`{sf_dir}/{b}.parquet`" for b in BASE}
-    return spark.sql(f"WITH {with_clause([name], tables, duck=False)} SELECT * FROM {name}")
+    return spark.sql(f"WITH {with_clause([name], tables, duck=False, given=given)} SELECT * FROM {name}")
 
 
 def oracle(names: Iterable[str], body: str) -> str:

@@ -16,7 +16,8 @@ SETTLEMENT = "(VALUES (DATE '1990-01-01', DATE '1997-12-31', 1), (DATE '1998-01-
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    return market.build_panel(*(frame(spark, d, n) for n in ("security_master", "calendar", "quotes", "actions", "limit_rules")))
+    calendar, tables = _market_tables(spark, d)
+    return market.build_panel(tables[0], calendar, *tables[1:])
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _residuals(spark: SparkSession, d: str, industry: bool = True) -> DataFrame:
-    rows = _returns(spark, d)
+    rows = stored(_returns(spark, d), "returns")
     other = residuals.leave_one_out(rows, _history(spark, d)) if industry else None
     return residuals.residual_returns(rows, residuals.market_returns(rows), other, WINDOW, 1, LEAST)
 
@@ -42,10 +43,16 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trading_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(panel, calendar), stored: several steps read each of them."""
-    quotes = stored(frame(spark, d, "quotes"), "quotes")
-    calendar = stored(quotes.select("date").distinct(), "calendar")
-    return stored(market.build_panel(frame(spark, d, "security_master"), calendar, quotes, frame(spark, d, "actions"), frame(spark, d, "limit_rules")), "panel"), calendar
+    """(panel, calendar), stored: several steps read each of them, and the facts are read once."""
+    calendar, tables = _market_tables(spark, d)
+    return stored(market.build_panel(tables[0], calendar, *tables[1:]), "panel"), calendar
+
+
+def _market_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
+    """calendar, and master, quotes, actions and rules, all from one reading of the facts."""
+    given = {"weekly": stored(frame(spark, d, "weekly"), "weekly")}
+    given["clamped"] = stored(frame(spark, d, "clamped", given), "clamped")
+    return stored(frame(spark, d, "calendar", given), "calendar"), [frame(spark, d, n, given) for n in ("security_master", "quotes", "actions", "limit_rules")]
 
 
 def _fees(spark: SparkSession) -> DataFrame:

@@ -54,4 +54,6 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    found = spark.read.schema(rows.schema).parquet(path)
+    found.stored_at = path
+    return found
