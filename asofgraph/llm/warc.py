@@ -242,7 +242,7 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces([batch], "payload"):
             for row in part.to_pylist():
-                member = gzip.compress(warc_record(row), 6, mtime=0)
+                member = gzip.compress(warc_record(row), 1, mtime=0)
                 if out and len(out) + len(member) > FILE_BYTES:
                     yield done()
                 out += member
