@@ -27,11 +27,11 @@ def build_edges(spark: SparkSession, mentions: str, aliases: str, out: str) -> i
             return 4
     audit = resolve.resolve(said, known)
     tables.write_parquet(audit, f"{out}/resolution_audit.parquet")
-    audit = spark.read.parquet(f"{out}/resolution_audit.parquet")
+    audit = contracts.TABLES["resolution_audit"].enforce(spark.read.parquet(f"{out}/resolution_audit.parquet"))
     joined = said.join(audit.drop("normalized_name"), resolve.MENTION)
     oriented = graph.orient(joined).withColumn("relationship_confidence", F.col("resolution_confidence"))
     tables.write_parquet(graph.collapse(oriented), f"{out}/supply_chain_edge.parquet")
-    edges = spark.read.parquet(f"{out}/supply_chain_edge.parquet")
+    edges = contracts.TABLES["supply_chain_edge"].enforce(spark.read.parquet(f"{out}/supply_chain_edge.parquet"))
     tables.write_csv_bundle({"coverage": graph.coverage_summary(joined, edges), "degrees": graph.degrees(edges)}, out, ("coverage",))
     return 0
 

@@ -9,7 +9,7 @@ from asofgraph.plans.domain import BASE
 
 SF = "/root/testdata/sf0.001"
 #: Random draws and string similarity have no SQL; tests hold them against plain versions.
-WITHOUT_SQL = {"bootstrap", "placebo", "fuzzy_top2"}
+WITHOUT_SQL = {"bootstrap", "placebo", "fuzzy_top2", "permutation_p"}
 
 
 def test_every_query_has_sql():
