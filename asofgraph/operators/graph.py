@@ -218,15 +218,34 @@ def integrity(edges: DataFrame, mentions: DataFrame, life_days: int = EDGE_LIFE_
 
 
 def gate(yearly: DataFrame, least_edges: int, least_stocks: int, least_years: int, least_median: float) -> DataFrame:
-    """One row: usable years, longest run of them, median of active edges, and whether all thresholds hold."""
+    """One row: usable years, longest run, median of connected stocks over the usable years, and whether all thresholds hold.
+
+    Years with enough edges and stocks qualify; usable are those inside a run of at least ``least_years``. No usable
+    year means no median, which fails.
+    """
     from asofgraph.operators.intervals import consecutive_runs
 
-    usable = yearly.filter((F.col("active_edges") >= least_edges) & (F.col("connected_stocks") >= least_stocks))
-    run = consecutive_runs(usable, "year").agg(F.coalesce(F.max("run_length"), F.lit(0)).cast("long").alias("longest_run"))
-    years = usable.agg(F.count("*").alias("usable_years"))
-    middle = yearly.agg(F.median("active_edges").alias("median_active_edges"))
-    passed = (F.col("longest_run") >= least_years) & F.coalesce(F.col("median_active_edges") >= least_median, F.lit(False))
-    return years.crossJoin(run).crossJoin(middle).withColumn("passed", passed).withColumn("outcome", F.when(passed, "FEASIBLE").otherwise("INFEASIBLE_DATA"))
+    fit = yearly.filter((F.col("active_edges") >= least_edges) & (F.col("connected_stocks") >= least_stocks))
+    runs = consecutive_runs(fit, "year")
+    longest = runs.agg(F.coalesce(F.max("run_length"), F.lit(0)).cast("long").alias("longest_run"))
+    years = runs.filter(F.col("run_length") >= least_years).select(F.explode(F.sequence("run_start", "run_end")).alias("year"))
+    middle = fit.join(years, "year").agg(F.count("*").alias("usable_years"), F.median("connected_stocks").alias("median_connected_stocks"))
+    passed = (F.col("longest_run") >= least_years) & F.coalesce(F.col("median_connected_stocks") >= least_median, F.lit(False))
+    return middle.crossJoin(longest).withColumn("passed", passed).withColumn("outcome", F.when(passed, "FEASIBLE").otherwise("INFEASIBLE_DATA"))
+
+
+def check_records(verdict: DataFrame, counters: DataFrame, least_years: int, least_median: float) -> DataFrame:
+    """(check, actual, threshold, operator, passed): the coverage checks of ``gate`` and a zero check for each counter of ``integrity``.
+
+    A minimum without an actual value fails.
+    """
+    record = lambda name, actual, operator, threshold, passed: F.struct(
+        name.alias("check"), actual.cast("double").alias("actual"), F.lit(float(threshold)).alias("threshold"), F.lit(operator).alias("operator"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    coverage = F.array(
+        record(F.lit("consecutive_usable_years"), F.col("longest_run"), ">=", least_years, F.col("longest_run") >= least_years),
+        record(F.lit("usable_years_median_connected_stocks"), F.col("median_connected_stocks"), ">=", least_median, F.col("median_connected_stocks") >= least_median))
+    zero = record(F.col("check"), F.col("actual"), "==", 0, F.col("actual") == 0)
+    return verdict.select(F.explode(coverage).alias("r")).select("r.*").union(counters.select(zero.alias("r")).select("r.*"))
 
 
 def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFrame | None = None) -> DataFrame:

@@ -74,6 +74,13 @@ def signal_diffusion(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("customer_shock", "supplier_shock")})
 
 
+def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The gate on edges while both ends are listed."""
+    listed = graph.listed_intervals(_edges(spark, d), frame(spark, d, "security_master"))
+    listed = listed.withColumns({"effective_start": F.col("listed_start"), "effective_end": F.col("listed_end")})
+    return graph.gate(graph.yearly_diagnostics(listed, _years(spark)), 100, 20, 3, 50.0)
+
+
 def industry_pit_yearly(spark: SparkSession, d: str) -> DataFrame:
     active = graph.active_at_year_ends(_edges(spark, d), _years(spark))
     return graph.industry_by_year(active, _history(spark, d)).withColumn("largest_share", F.round("largest_share", 9))
@@ -99,7 +106,8 @@ QUERIES = {
     "industry_pit_share": lambda s, d: graph.industry_incidence(graph.snapshot(_edges(s, d), _as_of()), graph.industry_at(_history(s, d), F.to_date(_as_of()))).withColumn("share", F.round("share", 9)),
     "industry_pit_yearly": industry_pit_yearly,
     "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d)),
-    "gate_verdict": lambda s, d: graph.gate(graph.yearly_diagnostics(_edges(s, d), _years(s)), 100, 20, 3, 50.0),
+    "gate_verdict": gate_verdict,
+    "gate_checks": lambda s, d: graph.check_records(gate_verdict(s, d), graph.integrity(_edges(s, d), _mentions(s, d)), 3, 50.0),
     "signal_diffusion": signal_diffusion,
     "weak_components": lambda s, d: graph.weak_components(graph.snapshot(_edges(s, d), _as_of())),
 }
@@ -111,6 +119,20 @@ _YEARLY = f"""{_ACTIVE}, u AS (SELECT * FROM act QUALIFY row_number() OVER (PART
   yearly AS (SELECT y.year, coalesce(active_edges, 0) AS active_edges, coalesce(connected_stocks, 0) AS connected_stocks, coalesce(suppliers, 0) AS suppliers, coalesce(customers, 0) AS customers, med
     FROM y LEFT JOIN p ON y.year = p.year LEFT JOIN e ON y.year = e.year)"""
 
+_LISTED = """le AS (SELECT supplier_id, customer_id, source_document_id, relationship_confidence, greatest(effective_start, CAST(a.listing_date AS TIMESTAMP), CAST(b.listing_date AS TIMESTAMP)) AS effective_start,
+    least(effective_end, CAST(a.delisting_date AS TIMESTAMP), CAST(b.delisting_date AS TIMESTAMP)) AS effective_end
+    FROM edges e JOIN security_master a ON a.security_id = supplier_id JOIN security_master b ON b.security_id = customer_id)"""
+_GATE = f"""{_LISTED}, {_YEARLY.replace("FROM edges JOIN", "FROM le JOIN")}, q AS (SELECT * FROM yearly WHERE active_edges >= 100 AND connected_stocks >= 20),
+  g AS (SELECT year, connected_stocks, year - row_number() OVER (ORDER BY year) AS i FROM q), n AS (SELECT *, count(*) OVER (PARTITION BY i) AS n FROM g),
+  v AS (SELECT (SELECT count(*) FROM n WHERE n >= 3) AS usable_years, (SELECT median(connected_stocks) FROM n WHERE n >= 3) AS median_connected_stocks, (SELECT coalesce(max(n), 0) FROM n) AS longest_run),
+  gate AS (SELECT *, longest_run >= 3 AND coalesce(median_connected_stocks >= 50, false) AS passed, CASE WHEN longest_run >= 3 AND median_connected_stocks >= 50 THEN 'FEASIBLE' ELSE 'INFEASIBLE_DATA' END AS outcome FROM v)"""
+_COUNTERS = """SELECT 'used_before_publication' AS "check", count(*) FILTER (publication_datetime > effective_start) AS actual FROM edges
+      UNION ALL SELECT 'empty_interval', count(*) FILTER (effective_start >= effective_end) FROM edges
+      UNION ALL SELECT 'beyond_maximum_age', count(*) FILTER (epoch_us(effective_end) - epoch_us(effective_start) > 550 * 86400000000) FROM edges
+      UNION ALL SELECT 'self_edges', count(*) FILTER (supplier_id = customer_id) FROM edges UNION ALL SELECT 'missing_provenance', count(*) FILTER (source_document_id IS NULL) FROM edges
+      UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT 1 FROM edges GROUP BY supplier_id, customer_id, source_document_id HAVING count(*) > 1)
+      UNION ALL SELECT 'documents_without_mentions', count(DISTINCT source_document_id) FROM edges WHERE source_document_id NOT IN (SELECT source_document_id FROM evidence)"""
+
 ORACLE = {
     "edge_build": oracle(["evidence"], _MENTIONS + """, o AS (SELECT CASE WHEN relationship_type = 'customer' THEN source_company_id ELSE resolved_entity_id END AS supplier_id,
       CASE WHEN relationship_type = 'customer' THEN resolved_entity_id ELSE source_company_id END AS customer_id, * FROM m WHERE resolution_status = 'resolved')
@@ -160,15 +182,12 @@ ORACLE = {
       p AS (SELECT year, CASE WHEN codes = 1 THEN code END AS code, sum(ends) AS ends, count(*) FILTER (codes > 1) AS ambiguous FROM k GROUP BY 1, 2)
       SELECT year, count(code) AS industries, CAST(coalesce(sum(ends) FILTER (code IS NOT NULL), 0) AS BIGINT) AS classified_ends, CAST(sum(ends) AS BIGINT) AS all_ends, CAST(sum(ambiguous) AS BIGINT) AS ambiguous_nodes,
       round(max(ends) FILTER (code IS NOT NULL) / nullif(sum(ends) FILTER (code IS NOT NULL), 0), 9) AS largest_share FROM p GROUP BY year"""),
-    "integrity_counters": oracle(["edges"], """SELECT 'used_before_publication' AS "check", count(*) FILTER (publication_datetime > effective_start) AS actual FROM edges
-      UNION ALL SELECT 'empty_interval', count(*) FILTER (effective_start >= effective_end) FROM edges
-      UNION ALL SELECT 'beyond_maximum_age', count(*) FILTER (epoch_us(effective_end) - epoch_us(effective_start) > 550 * 86400000000) FROM edges
-      UNION ALL SELECT 'self_edges', count(*) FILTER (supplier_id = customer_id) FROM edges UNION ALL SELECT 'missing_provenance', count(*) FILTER (source_document_id IS NULL) FROM edges
-      UNION ALL SELECT 'duplicate_keys', count(*) FROM (SELECT 1 FROM edges GROUP BY supplier_id, customer_id, source_document_id HAVING count(*) > 1)
-      UNION ALL SELECT 'documents_without_mentions', count(DISTINCT source_document_id) FROM edges WHERE source_document_id NOT IN (SELECT source_document_id FROM evidence)"""),
-    "gate_verdict": oracle(["edges"], f"""{_YEARLY}, g AS (SELECT year, year - row_number() OVER (ORDER BY year) AS i FROM yearly WHERE active_edges >= 100 AND connected_stocks >= 20),
-      r AS (SELECT (SELECT count(*) FROM g) AS usable_years, (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM g GROUP BY i)) AS longest_run, (SELECT median(active_edges) FROM yearly) AS median_active_edges)
-      SELECT *, longest_run >= 3 AND median_active_edges >= 50 AS passed, CASE WHEN longest_run >= 3 AND median_active_edges >= 50 THEN 'FEASIBLE' ELSE 'INFEASIBLE_DATA' END AS outcome FROM r"""),
+    "integrity_counters": oracle(["edges"], _COUNTERS),
+    "gate_verdict": oracle(["edges", "security_master"], f"{_GATE} SELECT * FROM gate"),
+    "gate_checks": oracle(["edges", "security_master"], f"""{_GATE}, c AS ({_COUNTERS})
+      SELECT 'consecutive_usable_years' AS "check", CAST(longest_run AS DOUBLE) AS actual, 3.0::DOUBLE AS threshold, '>=' AS operator, longest_run >= 3 AS passed FROM gate
+      UNION ALL SELECT 'usable_years_median_connected_stocks', median_connected_stocks, 50.0, '>=', coalesce(median_connected_stocks >= 50, false) FROM gate
+      UNION ALL SELECT "check", CAST(actual AS DOUBLE), 0.0, '==', actual = 0 FROM c"""),
     "signal_diffusion": oracle(["edges", "returns"], f"""{_RESIDUALS}, d AS (SELECT DISTINCT date, CAST(date AS TIMESTAMP) + INTERVAL 7 HOUR AS close_at FROM r),
       a AS (SELECT DISTINCT date, supplier_id, customer_id FROM edges JOIN d ON effective_start <= close_at AND (effective_end IS NULL OR effective_end > close_at)),
       b AS (SELECT date, supplier_id AS security_id, customer_id AS other, true AS c FROM a UNION ALL SELECT date, customer_id, supplier_id, false FROM a)

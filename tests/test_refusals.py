@@ -133,3 +133,15 @@ def test_permutation_and_sign_tests(spark):
     assert statistics.permutation_p([12446, 16617, 18426, 20506, 20732, 22787, 26642, 32885]) == pytest.approx(4.96e-5, abs=1e-7)
     found = spark.createDataFrame([(0, 6), (3, 3), (0, 0)], "u int, d int").select(statistics.sign_test(F.col("u"), F.col("d")).alias("p")).collect()
     assert [r.p for r in found] == [2 / 64, 1.0, 1.0]
+
+
+def test_gate_takes_the_median_of_usable_years(spark):
+    years = [(2015, 9, 90), (2016, 1, 5), (2017, 9, 40), (2018, 9, 60), (2019, 9, 50), (2020, 0, 0)]
+    yearly = spark.createDataFrame(years, "year int, active_edges long, connected_stocks long")
+    found = graph.gate(yearly, 5, 10, 3, 50.0)
+    assert found.first().asDict() == {"usable_years": 3, "median_connected_stocks": 50.0, "longest_run": 3, "passed": True, "outcome": "FEASIBLE"}
+    none = graph.gate(yearly, 5, 10, 4, 1.0)
+    assert none.first().asDict() == {"usable_years": 0, "median_connected_stocks": None, "longest_run": 3, "passed": False, "outcome": "INFEASIBLE_DATA"}
+    counters = spark.createDataFrame([("self_edges", 0), ("duplicate_keys", 2)], "check string, actual long")
+    records = {r["check"]: (r.actual, r.operator, r.passed) for r in graph.check_records(none, counters, 4, 1.0).collect()}
+    assert records == {"consecutive_usable_years": (3.0, ">=", False), "usable_years_median_connected_stocks": (None, ">=", False), "self_edges": (0.0, "==", True), "duplicate_keys": (2.0, "==", False)}
