@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofgraph.operators import graph, intervals
+from asofgraph.operators import graph, integrity, intervals
 from asofgraph.plans.domain import frame, oracle
 from asofgraph.session import stored
 
@@ -74,11 +74,20 @@ def signal_diffusion(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("customer_shock", "supplier_shock")})
 
 
-def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """The gate on edges while both ends are listed."""
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Edges while both ends are listed."""
     listed = graph.listed_intervals(_edges(spark, d), frame(spark, d, "security_master"))
-    listed = listed.withColumns({"effective_start": F.col("listed_start"), "effective_end": F.col("listed_end")})
-    return graph.gate(graph.yearly_diagnostics(listed, _years(spark)), 100, 20, 3, 50.0)
+    return listed.withColumns({"effective_start": F.col("listed_start"), "effective_end": F.col("listed_end")})
+
+
+def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return graph.gate(graph.yearly_diagnostics(_listed(spark, d), _years(spark)), 100, 20, 3, 50.0)
+
+
+def exposure_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge as an exposure at the year ends in its listed interval, so pairs with several documents do repeat."""
+    found = integrity.exposure_counters(_edges(spark, d), graph.active_at_year_ends(_listed(spark, d), _years(spark)), frame(spark, d, "security_master"))
+    return found.union(integrity.repeated_evidence(_edges(spark, d)))
 
 
 def industry_pit_yearly(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +115,7 @@ QUERIES = {
     "industry_pit_share": lambda s, d: graph.industry_incidence(graph.snapshot(_edges(s, d), _as_of()), graph.industry_at(_history(s, d), F.to_date(_as_of()))).withColumn("share", F.round("share", 9)),
     "industry_pit_yearly": industry_pit_yearly,
     "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d)),
+    "exposure_counters": exposure_counters,
     "gate_verdict": gate_verdict,
     "gate_checks": lambda s, d: graph.check_records(gate_verdict(s, d), graph.integrity(_edges(s, d), _mentions(s, d)), 3, 50.0),
     "signal_diffusion": signal_diffusion,
@@ -183,6 +193,13 @@ ORACLE = {
       SELECT year, count(code) AS industries, CAST(coalesce(sum(ends) FILTER (code IS NOT NULL), 0) AS BIGINT) AS classified_ends, CAST(sum(ends) AS BIGINT) AS all_ends, CAST(sum(ambiguous) AS BIGINT) AS ambiguous_nodes,
       round(max(ends) FILTER (code IS NOT NULL) / nullif(sum(ends) FILTER (code IS NOT NULL), 0), 9) AS largest_share FROM p GROUP BY year"""),
     "integrity_counters": oracle(["edges"], _COUNTERS),
+    "exposure_counters": oracle(["edges", "security_master"], f"""{_LISTED}, {_ACTIVE.replace("FROM edges JOIN", "FROM le JOIN")}, n AS (SELECT supplier_id AS id FROM edges UNION SELECT customer_id FROM edges),
+      k AS (SELECT security_id, listing_date FROM n LEFT JOIN security_master ON id = security_id)
+      SELECT 'repeated_exposures' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS actual FROM (SELECT count(*) AS n FROM act GROUP BY year, supplier_id, customer_id)
+      UNION ALL SELECT 'endpoints_outside_master', count(*) FILTER (security_id IS NULL) FROM k
+      UNION ALL SELECT 'endpoints_without_listing', count(*) FILTER (security_id IS NOT NULL AND listing_date IS NULL) FROM k
+      UNION ALL SELECT 'repeated_evidence', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+        FROM (SELECT count(*) AS n FROM edges GROUP BY supplier_id, customer_id, CAST(effective_start + INTERVAL 8 HOUR AS DATE))"""),
     "gate_verdict": oracle(["edges", "security_master"], f"{_GATE} SELECT * FROM gate"),
     "gate_checks": oracle(["edges", "security_master"], f"""{_GATE}, c AS ({_COUNTERS})
       SELECT 'consecutive_usable_years' AS "check", CAST(longest_run AS DOUBLE) AS actual, 3.0::DOUBLE AS threshold, '>=' AS operator, longest_run >= 3 AS passed FROM gate
