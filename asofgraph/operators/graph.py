@@ -92,9 +92,14 @@ def active_at_year_ends(edges: DataFrame, years: DataFrame, start: str = "effect
     return kept.join(years.select("year").distinct(), "year", "left_semi")
 
 
+def pairs_at_year_ends(edges: DataFrame, years: DataFrame) -> DataFrame:
+    """Of the edges of a pair that are active at a year's end, the newest by start, confidence and document."""
+    return latest(active_at_year_ends(edges, years), ["year", *PAIR], [F.desc_nulls_last(c) for c in ("effective_start", "relationship_confidence", "source_document_id")])
+
+
 def yearly_diagnostics(edges: DataFrame, years: DataFrame) -> DataFrame:
     """For each year, empty ones too: active pairs, connected stocks, suppliers, customers, median age in days."""
-    active = latest(active_at_year_ends(edges, years), ["year", *PAIR], [F.desc_nulls_last(c) for c in ("effective_start", "relationship_confidence", "source_document_id")])
+    active = pairs_at_year_ends(edges, years)
     age = (F.unix_micros("year_end") - F.unix_micros("effective_start")) / 86_400_000_000
     pairs = active.groupBy("year").agg(
         F.count("*").alias("active_edges"), F.countDistinct("supplier_id").alias("suppliers"), F.countDistinct("customer_id").alias("customers"), F.median(age).alias("median_age_days"))

@@ -90,6 +90,13 @@ def exposure_counters(spark: SparkSession, d: str) -> DataFrame:
     return found.union(integrity.repeated_evidence(_edges(spark, d)))
 
 
+def gate_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's records, with the counters of edges, endpoints and the pairs that the gate counts."""
+    pairs = graph.pairs_at_year_ends(_listed(spark, d), _years(spark))
+    more = integrity.exposure_counters(_edges(spark, d), pairs, frame(spark, d, "security_master"))
+    return graph.check_records(gate_verdict(spark, d), graph.integrity(_edges(spark, d), _mentions(spark, d)).union(more), 3, 50.0)
+
+
 def industry_pit_yearly(spark: SparkSession, d: str) -> DataFrame:
     active = graph.active_at_year_ends(_edges(spark, d), _years(spark))
     return graph.industry_by_year(active, _history(spark, d)).withColumn("largest_share", F.round("largest_share", 9))
@@ -117,7 +124,7 @@ QUERIES = {
     "integrity_counters": lambda s, d: graph.integrity(_edges(s, d), _mentions(s, d)),
     "exposure_counters": exposure_counters,
     "gate_verdict": gate_verdict,
-    "gate_checks": lambda s, d: graph.check_records(gate_verdict(s, d), graph.integrity(_edges(s, d), _mentions(s, d)), 3, 50.0),
+    "gate_checks": gate_checks,
     "signal_diffusion": signal_diffusion,
     "weak_components": lambda s, d: graph.weak_components(graph.snapshot(_edges(s, d), _as_of())),
 }
@@ -201,7 +208,11 @@ ORACLE = {
       UNION ALL SELECT 'repeated_evidence', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
         FROM (SELECT count(*) AS n FROM edges GROUP BY supplier_id, customer_id, CAST(effective_start + INTERVAL 8 HOUR AS DATE))"""),
     "gate_verdict": oracle(["edges", "security_master"], f"{_GATE} SELECT * FROM gate"),
-    "gate_checks": oracle(["edges", "security_master"], f"""{_GATE}, c AS ({_COUNTERS})
+    "gate_checks": oracle(["edges", "security_master"], f"""{_GATE}, ends AS (SELECT supplier_id AS id FROM edges UNION SELECT customer_id FROM edges),
+      k AS (SELECT security_id, listing_date FROM ends LEFT JOIN security_master ON id = security_id), c AS ({_COUNTERS}
+      UNION ALL SELECT 'repeated_exposures', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM u GROUP BY year, supplier_id, customer_id)
+      UNION ALL SELECT 'endpoints_outside_master', count(*) FILTER (security_id IS NULL) FROM k
+      UNION ALL SELECT 'endpoints_without_listing', count(*) FILTER (security_id IS NOT NULL AND listing_date IS NULL) FROM k)
       SELECT 'consecutive_usable_years' AS "check", CAST(longest_run AS DOUBLE) AS actual, 3.0::DOUBLE AS threshold, '>=' AS operator, longest_run >= 3 AS passed FROM gate
       UNION ALL SELECT 'usable_years_median_connected_stocks', median_connected_stocks, 50.0, '>=', coalesce(median_connected_stocks >= 50, false) FROM gate
       UNION ALL SELECT "check", CAST(actual AS DOUBLE), 0.0, '==', actual = 0 FROM c"""),
