@@ -48,6 +48,8 @@ HOT_DOCS = 16
 #: One of so many pairs of a shingle and a class is counted over all tasks; so often it has to turn up to count as frequent.
 SAMPLED = 256
 HOT_IN_SAMPLE = 4
+#: Shingles that a task gathers before it counts them; memory only.
+COUNTED_AT_ONCE = 1 << 19
 #: Members of a block of a large group, and shingles of all of them together.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
@@ -128,18 +130,15 @@ _PROFILE = "doc_id long, n long, digest long, token long, docs long, drawn long,
 
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
+        seen, counts = [], (np.empty(0, np.uint64), np.empty(0, np.int32))
         met: set[int] = set()
 
         def fold() -> None:
             nonlocal counts
-            token, n = np.unique(np.concatenate([counts[0], *(t for t, _ in seen)]), return_inverse=True)
-            weight = np.concatenate([counts[1], *(w for _, w in seen)])
-            total = np.bincount(n, weight, len(token)).astype(np.int64)
+            counts = added(*counts, seen)
+            token, total = counts
             if len(token) > 1 << 22:  # a shingle this rare here isn't worth its place
-                token, total = token[total > 1], total[total > 1]
-            counts = token, total
-            seen.clear()
+                counts = token[total > 1], total[total > 1]
 
         waiting = 0
         for batch in pieces(batches, "text"):
@@ -148,12 +147,12 @@ def _profile(width: int):
             none = np.full(len(n), None)
             yield _rows(doc_id=batch["doc_id"].cast(pa.int64()), n=n, digest=_signed(digest), token=pa.array(none, pa.int64()), docs=pa.array(none, pa.int64()), drawn=pa.array(none, pa.int64()), marks=pa.array(histograms(hashes, at), pa.binary()))
             new = np.array([not (d in met or met.add(d)) for d in digest.tolist()], bool)
-            seen.append((fresh := hashes[np.repeat(new, n)], np.ones(len(fresh), np.int64)))
+            seen.append(fresh := hashes[np.repeat(new, n)])
             drawn = fresh[splitmix(fresh ^ np.repeat(digest[new], n[new])) % _U(SAMPLED) == 0]
             if len(drawn):
                 yield hints(*np.unique(drawn, return_counts=True), sampled=True)
             waiting += len(fresh)
-            if waiting > 1 << 21:
+            if waiting > COUNTED_AT_ONCE:
                 fold()
                 waiting = 0
         if seen:
@@ -161,10 +160,31 @@ def _profile(width: int):
         token, total = counts
         often = total >= HOT_IN_TASK
         if often.any():
-            yield hints(token[often], total[often], sampled=False)
+            yield hints(token[often], total[often].astype(np.int64), sampled=False)
     return run
 
 
+def added(token: np.ndarray, total: np.ndarray, seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted tokens and their counts with those of ``seen``, which is emptied.
+
+    What is new is sorted in place and put in between, so no order or inverse of all tokens is held.
+    """
+    new = np.concatenate(seen)
+    seen.clear()
+    if not len(new):
+        return token, total
+    new.sort()
+    edge = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1], [True])))
+    new, more = new[edge[:-1]], np.diff(edge).astype(total.dtype)
+    place = np.searchsorted(token, new)
+    known = np.zeros(len(new), bool)
+    if len(token):
+        known = token[np.minimum(place, len(token) - 1)] == new
+        total[place[known]] += more[known]
+    place = place[~known]
+    return np.insert(token, place, new[~known]), np.insert(total, place, more[~known])
+
+
 def hints(token: np.ndarray, docs: np.ndarray, sampled: bool) -> pa.RecordBatch:
     """Rows of ``_profile`` that say in how many sets (of the sample) a shingle is, in place of a text's figures."""
     none = pa.nulls(len(token), pa.int64())

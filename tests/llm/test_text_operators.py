@@ -125,6 +125,39 @@ def test_frequent_over_all_tasks_is_found(spark):
     assert hints.agg(F.max("n")).first()[0] >= ngram_join.HOT_IN_SAMPLE and hints.filter("n > 1").count() <= 3
 
 
+def test_counting_shingles_of_a_task_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(7)
+    common = " ".join(f"c{k}" for k in range(50))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(at, at + 20)), pa.array([f"{common} " + " ".join(map(str, draw.integers(1 << 40, size=4000))) for _ in range(20)])], names=["doc_id", "text"])
+        for at in range(0, 600, 20)
+    ]
+    tracemalloc.start()
+    try:
+        rows = [b for b in ngram_join._profile(5)(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    counted = [d for b in rows for d in b["docs"].to_pylist() if d is not None]
+    assert counted == [600] * 46  # the shingles of the common passage, none of the 2.4 million others
+    assert peak < 120 << 20  # 12 bytes a shingle, twice while more are put in between
+
+
+def test_counts_of_shingles_over_several_gatherings():
+    token, total, every = np.empty(0, np.uint64), np.empty(0, np.int32), []
+    draw = np.random.default_rng(3)
+    for size in (0, 5, 300, 0, 2000):
+        seen = [draw.integers(400, size=size).astype(np.uint64) for _ in range(2)]
+        every += seen
+        token, total = ngram_join.added(token, total, list(seen))
+        plain = np.unique(np.concatenate(every), return_counts=True)
+        assert np.array_equal(token, plain[0]) and np.array_equal(total, plain[1])
+
+
 def test_histograms_never_exclude_linked_sets():
     draw = np.random.default_rng(5)
     for _ in range(40):
