@@ -20,7 +20,6 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -257,39 +256,46 @@ def url_key(url: str | None) -> tuple[str | None, str]:
     return host, found.path + (f"?{found.query}" if found.query else "")
 
 
-_PARSED = "host string, path string, page_id long, url string, outline array<long>, places array<int>, lines binary"
+_OUTLINES = "host string, path string, page_id long, outline array<long>, places array<int>"
+_LINES = "host string, page_id long, url string, outline array<long>, places array<int>, lines string"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The outline of all lines, and the text of the candidates, compressed."""
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in pieces(batches, "html"):
-        keys = [url_key(u) for u in batch["url"].to_pylist()]
-        found = [lines_of(h or "") for h in batch["html"].to_pylist()]
-        places = [candidates(lines) for lines in found]
-        texts = [squeeze.compress("\n".join(lines[k].text for k in at).encode()) for lines, at in zip(found, places, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), batch["page_id"], batch["url"],
-             pa.array([outline_of(lines) for lines in found], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.binary())],
-            names=["host", "path", "page_id", "url", "outline", "places", "lines"])
+def _parsed(schema: str):
+    """The outline of all lines, and the places and texts of the candidates, a line each: what ``schema`` has of it."""
+    names = [column.split()[0] for column in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html"):
+            keys = [url_key(u) for u in batch["url"].to_pylist()]
+            found = [lines_of(h or "") for h in batch["html"].to_pylist()]
+            places = [candidates(lines) for lines in found]
+            columns = {
+                "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.string()), "page_id": batch["page_id"], "url": batch["url"],
+                "outline": pa.array([outline_of(lines) for lines in found], pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32())),
+            }
+            if "lines" in names:
+                columns["lines"] = pa.array(["\n".join(lines[k].text for k in at) for lines, at in zip(found, places, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+    return run
 
-_TEXT = "page_id long, url string, text string, n_chars long"
 
+_GONE = "key long, gone array<int>"
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    loosen = zstandard.ZstdDecompressor()
-    for batch in pieces(batches, "lines", 1 << 18):
-        columns = [batch[c].to_pylist() for c in ("lines", "outline", "places", "near", "further")]
-        texts = []
-        for packed, outline, places, near, further in zip(*columns, strict=True):
-            shared = template_of(outline, *([x for x in others or () if x is not None] for others in (near, further)))
-            texts.append("\n".join(x for k, x in zip(places, loosen.decompress(packed).decode().split("\n"), strict=False) if k not in shared))
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page that loses any: the places of the candidates that are template."""
+    for batch in batches:
+        keys, gone = [], []
+        for key, outline, places, near, further in zip(*(batch[c].to_pylist() for c in ("key", "outline", "places", "near", "further")), strict=True):
+            shared = template_of(outline, *([x for x in others if x is not None] for others in (near, further)))
+            if lost := sorted(shared.intersection(places)):
+                keys.append(key)
+                gone.append(lost)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
 def neighbours(outlines: DataFrame) -> DataFrame:
-    """For rows of key, host, path, page_id and outline: key, near, further, arrays of outlines.
+    """For rows of key, host, path, page_id, outline and places: key, outline, places, near, further, the latter two arrays of outlines.
 
     near are the pages next to each on either side in order of (host, path), further those behind them; null where
     the host ends. Rows are dealt by ranges of that order, so a host with a third of all pages spreads over many
@@ -298,7 +304,7 @@ def neighbours(outlines: DataFrame) -> DataFrame:
     order = ["host", "path", "page_id", "key"]
     count = int(outlines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = outlines.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    placed = materialize(dealt.select("key", F.struct("host", "outline").alias("page"), F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place")), "placed")
+    placed = materialize(dealt.select("key", "places", F.struct("host", "outline").alias("page"), F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place")), "placed")
     inside = Window.partitionBy("range").orderBy("place")
     rows = placed.withColumns({f"{name}{k}": move("page", k).over(inside) for name, move in (("b", F.lag), ("a", F.lead)) for k in (1, 2)})
     edge = lambda end, other: F.max(F.when(F.col(f"{end}1").isNull(), F.struct("page", F.col(f"{other}1").alias("next"))))
@@ -309,7 +315,7 @@ def neighbours(outlines: DataFrame) -> DataFrame:
     same = lambda page: F.when(page.host == F.col("page.host"), page.outline)
     near = F.array(*(same(F.coalesce(f"{n}1", f"{edge}.page")) for n, edge in (("b", "left"), ("a", "right"))))
     further = F.array(*(same(F.coalesce(F.col(f"{n}2"), F.when(F.col(f"{n}1").isNotNull(), F.col(f"{edge}.page")).otherwise(F.col(f"{edge}.next")))) for n, edge in (("b", "left"), ("a", "right"))))
-    return rows.select("key", near.alias("near"), further.alias("further"))
+    return rows.select("key", "page.outline", "places", near.alias("near"), further.alias("further"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -320,14 +326,23 @@ def extract(pages: DataFrame) -> DataFrame:
     page without a host, or alone on its host, is not compared. Of two neighbours both have to share a line for it to
     go, but one that has all lines of the page or none has no say. Pages of the same path are ordered by
     page_id. Repeated rows give a result each. Other columns are ignored.
+
+    Pages are read and parsed twice, first for outlines and then for texts, so that texts are neither stored nor, unless
+    many pages lose lines, shuffled.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parsed, _PARSED)
-    key = F.when(F.col("host").isNotNull(), F.xxhash64("host", "outline")).otherwise(F.xxhash64("page_id", "url"))
-    rows = materialize(rows.withColumn("key", key), "parsed")  # every page is parsed once
-    first = rows.filter("host IS NOT NULL").groupBy("key").agg(F.min(F.struct("path", "page_id", "host", "outline")).alias("page")).select("key", "page.*")
-    near = neighbours(first)
-    return rows.join(near, "key", "left").select("page_id", "url", "lines", "outline", "places", "near", "further").mapInArrow(_texts, _TEXT)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    key = F.xxhash64("host", "outline")
+    places = F.array_distinct(F.flatten(F.collect_set("places")))  # pages with the same lines may differ in their candidates
+    outlines = pages.mapInArrow(_parsed(_OUTLINES), _OUTLINES).filter("host IS NOT NULL").withColumn("key", key)
+    first = outlines.groupBy("key").agg(F.min(F.struct("path", "page_id", "host", "outline")).alias("page"), places.alias("places"))
+    gone = neighbours(first.select("key", "page.*", "places")).mapInArrow(_gone, _GONE)
+    gone = materialize(gone, "gone")  # of known size: where few pages lose lines, texts needn't be shuffled
+    lines = pages.mapInArrow(_parsed(_LINES), _LINES).withColumn("key", F.when(F.col("host").isNotNull(), key).otherwise(F.xxhash64("page_id", "url")))
+    kept = F.filter(F.split("lines", "\n"), lambda _, k: ~F.array_contains("gone", F.get("places", k)))
+    text = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.array_join(kept, "\n"))
+    texts = lines.join(gone, "key", "left").select("page_id", "url", text.alias("text"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

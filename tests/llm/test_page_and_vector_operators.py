@@ -119,6 +119,47 @@ def test_pages_query_matches_plain_alignment(spark, tmp_path):
     assert found == set(plain_texts(rows)) and any(t == "a b c d e f" or len(t) == 11 for _, t, _ in found)
 
 
+def template_pages(count):
+    """Hosts with templates, copies, and pages with the same lines of which one has some in an advert."""
+    draw, rows = random.Random(8), []
+    for k in range(count):
+        own = [" ".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(30)]
+        own.insert(draw.randrange(30), "Terms")
+        body = "".join(f"<p>{x}</p>" for x in own)
+        for kind in ("ad", "x") if k % 9 == 0 else ("x",):
+            rows.append((len(rows), f"http://h{k % 4}.example/{k}/{kind}", f"<body><p>Site</p><div class={kind}><p>News &amp; more</p></div>{body}<p>All rights</p></body>"))
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_lines_go_whichever_way_pages_meet_their_losses(spark, tmp_path, broadcast):
+    rows = template_pages(90)
+    rows += [(7000, None, "<p>Site</p>"), (7001, "http://h1.example/0", None), (7002, "http://h1.example/0", "<p>Site</p><p>x</p>")]
+    spark.createDataFrame(rows, PAGES).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = sorted(((r.page_id, r.text, r.n_chars) for r in pages.op1_pages(spark, str(tmp_path)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == sorted(plain_texts(rows), key=str)
+    assert all("Site" not in t and len(t) > 400 for i, t, _ in found if i < 7000)
+
+
+def test_texts_are_not_shuffled_where_few_pages_lose_lines(spark):
+    """Pages without a common line: what their neighbours' outlines take is no reason to shuffle the texts."""
+    rows = [(k, f"http://h{k % 4}.example/{k}", "".join(f"<p>{k} and {i}</p>" for i in range(60))) for k in range(400)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        found = pages.extract(spark.createDataFrame(rows, PAGES))
+        assert {(r.page_id, r.n_chars) for r in found.collect()} == {(k, sum(len(f"{k} and {i}") + 1 for i in range(60)) - 1) for k, *_ in rows}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_common_subsequence_is_longest():
     draw = random.Random(1)
     for _ in range(200):
