@@ -41,10 +41,12 @@ def completeness(rows: DataFrame, columns: list[str]) -> DataFrame:
     return found.withColumn("rate", F.try_divide("complete", "rows"))
 
 
-def evidence_support(rows: DataFrame, name: Column, evidence: Column) -> DataFrame:
-    """One row: how many named rows have their normalised name inside their normalised evidence."""
+def evidence_support(rows: DataFrame, name: Column, evidence: Column, weight: Column | None = None) -> DataFrame:
+    """One row: how many named rows have their normalised name inside their normalised evidence. ``weight`` says for how many rows a row stands."""
     held = F.coalesce(evidence.contains(name), F.lit(False)) & (name != "")
-    found = rows.agg(F.count("*").alias("sampled"), F.count_if(held).alias("supported"))
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0).cast("long"))
+    weight = F.lit(1).cast("long") if weight is None else weight
+    found = rows.agg(total(weight).alias("sampled"), total(F.when(held, weight)).alias("supported"))
     return found.withColumn("rate", F.try_divide("supported", "sampled"))
 
 
