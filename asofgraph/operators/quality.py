@@ -25,7 +25,7 @@ def stratified_sample(rows: DataFrame, strata: list[str], keys: list[str], size:
     seats = more.withColumn("seat", F.row_number().over(Window.orderBy(F.desc(F.col("n") / (F.col("j") + 1)), "key", "j"))).filter(F.col("seat") <= size - F.col("groups"))
     given = groups.join(seats.groupBy("key").agg(F.count("*").alias("more")), "key", "left").select(*(F.col(c).alias(f"_{c}") for c in strata), (1 + F.coalesce("more", F.lit(0))).alias("_seats"))
     order = Window.partitionBy(*strata).orderBy(seeded_digest(seed, *map(F.col, keys)), *keys)
-    ranked = rows.withColumn("_rank", F.row_number().over(order))
+    ranked = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size)  # a number known beforehand, so that tasks drop later rows before the shuffle
     same = F.lit(True)
     for c in strata:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))

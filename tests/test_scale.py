@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from asofgraph.functions import names
-from asofgraph.operators import resolve
+from asofgraph.operators import quality, resolve
+from asofgraph.plans import text_queries
 
 
 def test_only_an_exact_local_midnight_is_a_bare_date(spark):
@@ -67,3 +68,18 @@ def test_names_are_decided_once_a_day(spark):
     audit = resolve.resolve(mentions, aliases, fuzzy=False, keep=lambda rows: kept.append(rows.count()) or rows)
     assert kept == [4] and audit.count() == 50_005
     assert {tuple(r) for r in audit.groupBy("counterparty_raw_name", "resolution_status", "resolved_entity_id").count().collect()} == {("Acme 0", "unresolved", None, 16667), ("Acme 1", "resolved", "E1", 16667), ("Acme 2", "unresolved", None, 16666), (None, "invalid_name", None, 5)}
+
+
+def test_strata_are_cut_before_they_are_gathered(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("s"), F.col("id").alias("k"))
+    found = quality.stratified_sample(rows, ["s"], ["k"], 10, 42)
+    assert sorted(r.s for r in found.collect()) == [0] * 5 + [1] * 5
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_matched_with_their_evidence_once(spark, monkeypatch):
+    mentions = spark.range(30_000).select(F.concat(F.lit("Acme "), F.col("id") % 3).alias("counterparty_raw_name"), F.concat(F.lit("says acme"), F.col("id") % 2).alias("evidence_text"))
+    monkeypatch.setattr(text_queries, "frame", lambda *a: mentions)
+    seen, plain = [], quality.evidence_support
+    monkeypatch.setattr(quality, "evidence_support", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    assert tuple(text_queries.evidence_support(spark, "").first()) == (30_000, 10_000, 0.333333333) and seen == [6]
