@@ -19,6 +19,8 @@ from asofgraph.session import checkpoint_folder
 EDGE_LIFE_DAYS = 550
 PAIR = ["supplier_id", "customer_id"]
 PAIR_DOCUMENT = [*PAIR, "source_document_id"]
+#: Trading dates in one array of residuals.
+SPAN = 32
 #: Upper ends of the edge age buckets in days; the last is open.
 AGE_BUCKETS = ((90, "0-90"), (180, "91-180"), (365, "181-365"), (None, "366+"))
 
@@ -258,8 +260,9 @@ def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFram
 
     An edge is active from its start to before its end (null: open). Overlapping evidence for a pair
     counts once; null residuals are left out of mean and count. Intervals become calendar positions
-    through a broadcast day table, evidence of a pair becomes disjoint intervals, and only then
-    positions are generated: no range join and no distinct over pairs and dates. Edges of a node to itself
+    through a broadcast day table, and evidence of a pair becomes disjoint intervals, cut into blocks of SPAN positions. A
+    block meets its neighbour's residuals of the block as one array, and positions are generated only where all of a
+    node's are together: no range join, no distinct over pairs and dates, and no shuffle of them. Edges of a node to itself
     or without one of their ends are an error. ``calendar`` has the residuals' dates, if they are at hand.
     """
     calendar = residuals if calendar is None else calendar
@@ -271,13 +274,20 @@ def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFram
     held = closes_before(closes_before(edges.select(*PAIR, "effective_start", "effective_end"), "effective_start", days, "low"), "effective_end", days, "high")
     held = held.crossJoin(F.broadcast(total)).withColumn("high", F.coalesce("high", "n")).select(*PAIR, F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
     spans = islands(held, PAIR, "low", "high")
-    active = spans.select(*PAIR, F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("pos"))
-    both = active.select("pos", F.col("supplier_id").alias("security_id"), F.col("customer_id").alias("other"), F.lit(True).alias("is_customer")).union(
-        active.select("pos", "customer_id", "supplier_id", F.lit(False)))
-    values = residuals.filter("residual_return IS NOT NULL").join(F.broadcast(dates), "date").select(F.col("pos").cast("long").alias("pos"), F.col("security_id").alias("other"), "residual_return")
-    joined = both.join(values, ["pos", "other"], "left")
+    block = lambda at: F.floor(at / SPAN)
+    cut = spans.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
+    cut = cut.withColumn("from", F.greatest(F.col("low"), F.col("block") * SPAN)).withColumn("size", F.least(F.col("high"), (F.col("block") + 1) * SPAN) - F.col("from")).select(*PAIR, "block", "from", F.col("size").cast("int").alias("size"))
+    both = cut.select("block", "from", "size", F.col("supplier_id").alias("security_id"), F.col("customer_id").alias("other"), F.lit(True).alias("is_customer")).union(
+        cut.select("block", "from", "size", "customer_id", "supplier_id", F.lit(False)))
+    values = residuals.filter("residual_return IS NOT NULL").join(F.broadcast(dates), "date").select(block(F.col("pos")).alias("block"), (F.col("pos") % SPAN).alias("k"), F.col("security_id").alias("other"), "residual_return")
+    series = values.groupBy("other", "block").agg(F.collect_list(F.struct("k", "residual_return")).alias("held"))
+    series = series.select("other", "block", F.transform(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda k: F.get(F.col("held.residual_return"), (F.array_position(F.col("held.k"), k) - 1).cast("int"))).alias("series"))
+    none = F.array_repeat(F.lit(None).cast("double"), F.col("size"))
+    part = F.coalesce(F.slice("series", (F.col("from") - F.col("block") * SPAN + 1).cast("int"), F.col("size")), none)
+    met = both.join(series, ["block", "other"], "left").select("security_id", "block", "is_customer", "from", part.alias("part")).repartition("security_id", "block")
+    joined = met.select("security_id", "block", "is_customer", "from", F.posexplode("part").alias("k", "residual_return")).withColumn("pos", F.col("from") + F.col("k"))
     customer, supplier = F.when(F.col("is_customer"), F.col("residual_return")), F.when(~F.col("is_customer"), F.col("residual_return"))
-    found = joined.groupBy("pos", "security_id").agg(
+    found = joined.groupBy("security_id", "block", "pos").agg(
         F.avg(customer).alias("customer_shock"), F.avg(supplier).alias("supplier_shock"),
         F.count(customer).alias("customer_neighbor_count"), F.count(supplier).alias("supplier_neighbor_count"))
     return found.join(F.broadcast(dates), "pos").select("date", "security_id", "customer_shock", "supplier_shock", "customer_neighbor_count", "supplier_neighbor_count", F.col("date").alias("graph_snapshot_date"))

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from asofgraph.functions import names
-from asofgraph.operators import quality, resolve
+from asofgraph.operators import graph, quality, resolve
 from asofgraph.plans import text_queries
 
 
@@ -16,8 +16,8 @@ def test_only_an_exact_local_midnight_is_a_bare_date(spark):
     assert [(r.kind, r.day) for r in found] == [("date_only", "2024-01-04"), ("exact", "2024-01-03"), ("exact", "2024-01-03"), ("date_only", "1965-01-04"), ("exact", "1965-01-03")]
 
 
-def most_rows(found):
-    """The rows of a table, and the most that any step of its plan put out."""
+def most_rows(found, counted="numOutputRows"):
+    """The rows of a table, and the most that any step of its plan put out (or another metric)."""
     rows, most, todo = found.collect(), 0, [found._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
@@ -26,7 +26,7 @@ def most_rows(found):
             todo.append(node.executedPlan())
         elif kind.endswith("QueryStageExec") or kind == "ReusedExchangeExec":
             todo.append(node.plan() if kind.endswith("QueryStageExec") else node.child())
-        metric = node.metrics().get("numOutputRows")
+        metric = node.metrics().get(counted)
         most = max(most, metric.get().value() if metric.isDefined() else 0)
         todo += [node.children().apply(k) for k in range(node.children().size())]
     return rows, most
@@ -83,3 +83,21 @@ def test_names_are_matched_with_their_evidence_once(spark, monkeypatch):
     seen, plain = [], quality.evidence_support
     monkeypatch.setattr(quality, "evidence_support", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
     assert tuple(text_queries.evidence_support(spark, "").first()) == (30_000, 10_000, 0.333333333) and seen == [6]
+
+
+def test_active_pairs_are_not_shuffled_by_date(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(200)]
+    at = lambda k: dt.datetime.combine(days[k], dt.time(12), dt.UTC)
+    pairs = [(f"S{k}", f"C{k % 7}", at(k), at(k + 150) if k % 3 else None) for k in range(40)]
+    edges = spark.createDataFrame(pairs, "supplier_id string, customer_id string, effective_start timestamp, effective_end timestamp")
+    held = {(d, f"C{k}"): float(i * 7 + k) for i, d in enumerate(days) for k in range(7) if (i + k) % 5}
+    residuals = spark.createDataFrame([(d, s, v) for (d, s), v in held.items()], "date date, security_id string, residual_return double")
+    found, most = most_rows(graph.diffusion_signals(edges, residuals), "shuffleRecordsWritten")
+    plain = {}
+    for s, c, low, high in pairs:
+        for d in days:
+            close = dt.datetime.combine(d, dt.time(7), dt.UTC)
+            if low <= close and (high is None or close < high):
+                plain.setdefault((d, s), []).append(held.get((d, c)))
+    assert {(r.date, r.security_id): (r.customer_shock, r.customer_neighbor_count) for r in found if r.security_id[0] == "S"} == {k: (v[0], sum(x is not None for x in v)) for k, v in plain.items()}
+    assert most < 2 * sum(map(len, plain.values())) / 5
