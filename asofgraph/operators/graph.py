@@ -255,7 +255,7 @@ def check_records(verdict: DataFrame, counters: DataFrame, least_years: int, lea
     return verdict.select(F.explode(coverage).alias("r")).select("r.*").union(counters.select(zero.alias("r")).select("r.*"))
 
 
-def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFrame | None = None, customers_only: bool = False) -> DataFrame:
     """Mean neighbour residual of every node with an active edge at each date's close.
 
     An edge is active from its start to before its end (null: open). Overlapping evidence for a pair
@@ -263,7 +263,8 @@ def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFram
     through a broadcast day table, and evidence of a pair becomes disjoint intervals, cut into blocks of SPAN positions. A
     block meets its neighbour's residuals of the block as one array, and positions are generated only where all of a
     node's are together: no range join, no distinct over pairs and dates, and no shuffle of them. Edges of a node to itself
-    or without one of their ends are an error. ``calendar`` has the residuals' dates, if they are at hand.
+    or without one of their ends are an error. ``calendar`` has the residuals' dates, if they are at hand;
+    ``customers_only`` leaves the supplier side out, and with it nodes that are no supplier then.
     """
     calendar = residuals if calendar is None else calendar
     days = day_table(calendar)
@@ -277,8 +278,9 @@ def diffusion_signals(edges: DataFrame, residuals: DataFrame, calendar: DataFram
     block = lambda at: F.floor(at / SPAN)
     cut = spans.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
     cut = cut.withColumn("from", F.greatest(F.col("low"), F.col("block") * SPAN)).withColumn("size", F.least(F.col("high"), (F.col("block") + 1) * SPAN) - F.col("from")).select(*PAIR, "block", "from", F.col("size").cast("int").alias("size"))
-    both = cut.select("block", "from", "size", F.col("supplier_id").alias("security_id"), F.col("customer_id").alias("other"), F.lit(True).alias("is_customer")).union(
-        cut.select("block", "from", "size", "customer_id", "supplier_id", F.lit(False)))
+    both = cut.select("block", "from", "size", F.col("supplier_id").alias("security_id"), F.col("customer_id").alias("other"), F.lit(True).alias("is_customer"))
+    if not customers_only:
+        both = both.union(cut.select("block", "from", "size", "customer_id", "supplier_id", F.lit(False)))
     values = residuals.filter("residual_return IS NOT NULL").join(F.broadcast(dates), "date").select(block(F.col("pos")).alias("block"), (F.col("pos") % SPAN).alias("k"), F.col("security_id").alias("other"), "residual_return")
     series = values.groupBy("other", "block").agg(F.collect_list(F.struct("k", "residual_return")).alias("held"))
     series = series.select("other", "block", F.transform(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda k: F.get(F.col("held.residual_return"), (F.array_position(F.col("held.k"), k) - 1).cast("int"))).alias("series"))

@@ -109,18 +109,20 @@ def round_trips(weights: DataFrame, panel: DataFrame, calendar: DataFrame, fees:
     at = F.explode(F.array(F.struct(F.lit(True).alias("entry"), F.col("entry_pos").alias("pos")), F.struct(F.lit(False).alias("entry"), F.col("due_pos").alias("pos"))))
     table = fills(panel, calendar, least_amount, dates).select("security_id", "pos", F.struct("open", "buy_reason", "sell_reason", "buy_fill", "sell_fill").alias("cell"))
     met = asked.withColumn("ask", at).withColumn("pos", F.col("ask.pos")).join(table, ["security_id", "pos"], "left")
+    cell = F.struct(F.col("cell.open").alias("open"), F.when(long, F.col("cell.buy_reason")).otherwise(F.col("cell.sell_reason")).alias("reason"), F.when(long, F.col("cell.sell_fill")).otherwise(F.col("cell.buy_fill")).alias("exit"))
+    met = met.withColumn("cell", F.when(F.col("cell").isNotNull(), cell))  # only what the trade's side needs is gathered
     keys = [c for c in asked.columns if c != "entry_rates"]
     one = lambda entry: F.first(F.when(F.col("ask.entry") == F.lit(entry), F.col("cell")), ignorenulls=True)
     rows = met.groupBy("signal_date", "security_id", "target_weight").agg(
         *(F.first(c).alias(c) for c in keys if c not in ("signal_date", "security_id", "target_weight")), F.first("entry_rates").alias("entry_rates"), one(True).alias("entry"), one(False).alias("due"))
     reason = (
         F.when(F.col("entry_date").isNull(), "no_next_trading_day").when(F.col("entry").isNull(), "missing_market_row")
-        .when(long, F.col("entry.buy_reason")).otherwise(F.col("entry.sell_reason")))
+        .otherwise(F.col("entry.reason")))
     rows = rows.withColumn("entry_block_reason", F.coalesce(reason, F.lit("")))
     entered = F.col("entry_block_reason") == ""
     checked = unless(entered & (F.col("rules") != 1), F.col("entry_block_reason"), "not one settlement rule on", F.col("entry_date"))
     rows = rows.withColumn("entry_block_reason", checked).withColumnRenamed("due_date", "scheduled_exit_date")
-    fill = F.when(entered, F.when(long, F.col("due.sell_fill")).otherwise(F.col("due.buy_fill")))
+    fill = F.when(entered, F.col("due.exit"))
     rows = rows.withColumns({"entry_price": F.col("entry.open"), "exit_pos": fill.pos, "exit_date": fill.date, "exit_price": fill.open})
     status = F.when(~entered, "ENTRY_REJECTED").when(F.col("exit_date").isNull(), "OPEN").otherwise("CLOSED")
     rows = rows.withColumns({"status": status, "entry_side": F.when(long, "buy").otherwise("sell"), "exit_side": F.when(long, "sell").otherwise("buy")})

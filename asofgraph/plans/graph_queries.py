@@ -41,8 +41,8 @@ _NODES = "nodes AS (SELECT supplier_id AS node, customer_id AS other, 1 AS o FRO
 _RESIDUALS = "r AS (SELECT date, security_id, CASE WHEN is_suspended THEN NULL ELSE raw_return END AS residual_return FROM returns)"
 
 
-def residuals(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "returns").select("date", "security_id", F.when(~F.col("is_suspended"), F.col("raw_return")).alias("residual_return"))
+def residuals(spark: SparkSession, d: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    return frame(spark, d, "returns", given).select("date", "security_id", F.when(~F.col("is_suspended"), F.col("raw_return")).alias("residual_return"))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +64,9 @@ def edge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return graph.conflicts(frame(spark, d, "evidence"), ("relationship_confidence", "economic_weight"))
 
 
-def signals_of(spark: SparkSession, d: str, returns: DataFrame) -> DataFrame:
+def signals_of(spark: SparkSession, d: str, returns: DataFrame, customers_only: bool = False) -> DataFrame:
     """Neighbour signals on stored residuals, whose dates are stored as well, since several steps read them."""
-    return graph.diffusion_signals(_edges(spark, d), returns, stored(returns.select("date").distinct(), "calendar"))
+    return graph.diffusion_signals(_edges(spark, d), returns, stored(returns.select("date").distinct(), "calendar"), customers_only)
 
 
 def signal_diffusion(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ SETTLEMENT = "(VALUES (DATE '1990-01-01', DATE '1997-12-31', 1), (DATE '1998-01-
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    calendar, tables = _market_tables(spark, d)
+    calendar, tables, _ = _market_tables(spark, d)
     return market.build_panel(tables[0], calendar, *tables[1:])
 
 
@@ -34,25 +34,27 @@ def _residuals(spark: SparkSession, d: str, industry: bool = True) -> DataFrame:
     return residuals.residual_returns(rows, residuals.market_returns(rows), other, WINDOW, 1, LEAST)
 
 
-def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return graph_queries.signal_diffusion(spark, d).select("date", "security_id", "customer_shock")
+def _signals(spark: SparkSession, d: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    returns = stored(graph_queries.residuals(spark, d, given), "residuals")
+    return graph_queries.signals_of(spark, d, returns, customers_only=True).select("date", "security_id", F.round("customer_shock", 6).alias("customer_shock"))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return portfolio.quantile_weights(_signals(spark, d), "customer_shock")
+def _weights(spark: SparkSession, d: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    return portfolio.quantile_weights(_signals(spark, d, given), "customer_shock")
 
 
-def trading_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(panel, calendar), stored: several steps read each of them, and the facts are read once."""
-    calendar, tables = _market_tables(spark, d)
-    return stored(market.build_panel(tables[0], calendar, *tables[1:]), "panel"), calendar
+def trading_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(panel, calendar, what they were made of), stored: several steps read each of them, and the facts are read once. The panel has what fills need."""
+    calendar, tables, given = _market_tables(spark, d)
+    found = market.build_panel(tables[0], calendar, *tables[1:]).select("date", "security_id", "open", "amount", "tradable", "suspended", "limit_up", "limit_down")
+    return stored(found, "panel"), calendar, given
 
 
-def _market_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
-    """calendar, and master, quotes, actions and rules, all from one reading of the facts."""
-    given = {"weekly": stored(frame(spark, d, "weekly"), "weekly")}
-    given["clamped"] = stored(frame(spark, d, "clamped", given), "clamped")
-    return stored(frame(spark, d, "calendar", given), "calendar"), [frame(spark, d, n, given) for n in ("security_master", "quotes", "actions", "limit_rules")]
+def _market_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], dict[str, DataFrame]]:
+    """calendar; master, quotes, actions and rules, all from one reading of the facts; and the stored table of it, whose rows are those of the weeks."""
+    clamped = stored(frame(spark, d, "clamped").select("date", "security_id", "reference_price", "open", "close", "volume", "amount", "first_line"), "clamped")
+    given = {"weekly": clamped, "clamped": clamped}
+    return stored(frame(spark, d, "calendar", given), "calendar"), [frame(spark, d, n, given) for n in ("security_master", "quotes", "actions", "limit_rules")], given
 
 
 def _fees(spark: SparkSession) -> DataFrame:
@@ -63,9 +65,9 @@ def _settlement(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {SETTLEMENT} AS s(valid_from, valid_to, offset)")
 
 
-def _trades(spark: SparkSession, d: str, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    held, calendar = tables or trading_tables(spark, d)
-    return portfolio.round_trips(stored(_weights(spark, d), "weights"), held, calendar, _fees(spark), _settlement(spark), hold=2, least_amount=20000.0)
+def _trades(spark: SparkSession, d: str, tables: tuple[DataFrame, DataFrame, dict[str, DataFrame]] | None = None) -> DataFrame:
+    held, calendar, given = tables or trading_tables(spark, d)
+    return portfolio.round_trips(stored(_weights(spark, d, given), "weights"), held, calendar, _fees(spark), _settlement(spark), hold=2, least_amount=20000.0)
 
 
 def daily_pnl(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +82,7 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 def _ic(spark: SparkSession, d: str) -> DataFrame:
     returns = stored(graph_queries.residuals(spark, d), "residuals")
-    signals = graph_queries.signals_of(spark, d, returns).select("date", "security_id", F.round("customer_shock", 6).alias("customer_shock"))
+    signals = graph_queries.signals_of(spark, d, returns, customers_only=True).select("date", "security_id", F.round("customer_shock", 6).alias("customer_shock"))
     return statistics.information_coefficients(signals, returns)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from asofgraph.functions import names
 from asofgraph.operators import graph, quality, resolve
-from asofgraph.plans import text_queries
+from asofgraph.plans import market_queries, text_queries
 
 
 def test_only_an_exact_local_midnight_is_a_bare_date(spark):
@@ -101,3 +101,15 @@ def test_active_pairs_are_not_shuffled_by_date(spark):
                 plain.setdefault((d, s), []).append(held.get((d, c)))
     assert {(r.date, r.security_id): (r.customer_shock, r.customer_neighbor_count) for r in found if r.security_id[0] == "S"} == {k: (v[0], sum(x is not None for x in v)) for k, v in plain.items()}
     assert most < 2 * sum(map(len, plain.values())) / 5
+
+
+def test_signals_of_customers_alone(spark):
+    residuals = spark.createDataFrame([(dt.date(2020, 1, k), s, float(k)) for k in (2, 3) for s in "ABC"], "date date, security_id string, residual_return double")
+    edges = spark.sql("SELECT * FROM VALUES ('A', 'B', TIMESTAMP '2020-01-01', CAST(NULL AS TIMESTAMP)), ('B', 'C', TIMESTAMP '2020-01-03', NULL) AS t(supplier_id, customer_id, effective_start, effective_end)")
+    shown = lambda rows: sorted((r.date, r.security_id, r.customer_shock, r.customer_neighbor_count) for r in rows.filter("customer_shock IS NOT NULL").collect())
+    assert shown(graph.diffusion_signals(edges, residuals, customers_only=True)) == shown(graph.diffusion_signals(edges, residuals)) != []
+
+
+def test_trades_store_only_what_fills_and_signals_need(spark):
+    held, _, given = market_queries.trading_tables(spark, "/root/testdata/sf0.001")
+    assert len(held.columns) == 8 and given["weekly"] is given["clamped"] and len(given["clamped"].columns) == 8
